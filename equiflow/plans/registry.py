@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from equiflow.plans import fundamental_plans
+from equiflow.plans import fundamental_plans, technical_plans
 
-_MODULES = [fundamental_plans]
+_MODULES = [fundamental_plans, technical_plans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
