@@ -119,9 +119,10 @@ def drop_incomplete(df: DataFrame, cols: tuple[str, ...] | list[str]) -> DataFra
     return df.na.drop("any", subset=list(cols))
 
 
-def technical_indicators(prices: DataFrame, key: str = "ticker", dropna: bool = True) -> DataFrame:
+def technical_indicators(prices: DataFrame, key: str = "ticker", dropna: bool = True,
+                         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """SMA 20/50, RSI 14, MACD 12/26/9 for every ticker; rows with any NULL indicator dropped."""
-    out = drop_halo(indicators(blocked_prices(prices, key), key))
+    out = drop_halo(indicators(blocked_prices(prices, key, block_rows=block_rows), key))
     return drop_incomplete(out, INDICATOR_COLUMNS) if dropna else out
 
 
