@@ -64,8 +64,8 @@ def ensure_columns(df: DataFrame, cols: tuple[str, ...] = ESSENTIAL_METRICS) ->
     return df.withColumns(missing) if missing else df
 
 
-def ratios(df: DataFrame, digits: int = 6) -> DataFrame:
-    """R01-R11 on a merged, zero-cleaned frame. Ratios rounded to ``digits``; FCF to cents."""
+def ratios(df: DataFrame) -> DataFrame:
+    """R01-R11 on a merged, zero-cleaned frame (full precision; round only for presentation)."""
     c = F.col
     r = {
         "net_profit_margin": div("net_income_common_stockholders", "total_revenue"),
@@ -79,12 +79,11 @@ def ratios(df: DataFrame, digits: int = 6) -> DataFrame:
         "debt_to_assets": div("total_debt", "total_assets"),
         "operating_cash_flow_ratio": div("operating_cash_flow", "current_liabilities"),
     }
-    out = {k: F.round(v, digits) for k, v in r.items()}
-    out["free_cash_flow"] = F.round(c("operating_cash_flow") - c("capital_expenditure"), 2)
-    return df.withColumns(out)
+    r["free_cash_flow"] = c("operating_cash_flow") - c("capital_expenditure")
+    return df.withColumns(r)
 
 
-def fundamentals(income: DataFrame, balance: DataFrame, cash: DataFrame, digits: int = 6) -> DataFrame:
+def fundamentals(income: DataFrame, balance: DataFrame, cash: DataFrame) -> DataFrame:
     """Merged statements + all eleven ratios, one row per (ticker, period)."""
     merged = zero_to_null(merge_statements(income, balance, cash))
-    return ratios(ensure_columns(merged), digits)
+    return ratios(ensure_columns(merged))

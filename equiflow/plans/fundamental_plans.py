@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from equiflow.operators.fundamentals import RATIO_COLUMNS, fundamentals
 from equiflow.plans.fixture_sql import with_fixtures
@@ -12,7 +13,7 @@ from equiflow.sources import fixtures as fx
 def fundamental_ratios(spark: SparkSession, sf: str) -> DataFrame:
     b = fx.base(spark, sf)
     f = fundamentals(fx.income(spark, sf, b), fx.balance(spark, sf, b), fx.cashflow(spark, sf, b))
-    return f.select("ticker", "dt", *RATIO_COLUMNS)
+    return f.select("ticker", "dt", *[F.round(c, 2 if c == "free_cash_flow" else 6).alias(c) for c in RATIO_COLUMNS])
 
 
 QUERIES = {
