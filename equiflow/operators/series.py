@@ -35,7 +35,9 @@ def series_index(df: DataFrame, key: str = "ticker", order: str = "dt", bucket:
     w = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order))
-    return (b.join(offsets, [key, "_bucket"])
+    # left join: an inner join would infer an extra NOT NULL filter on one branch only and stop
+    # Spark from reusing the exchange of ``df`` for the counts and the rows
+    return (b.join(offsets, [key, "_bucket"], "left")
             .withColumn(out, (F.col("_off") + rn - 1).cast("long"))
             .drop("_bucket", "_off"))
 
