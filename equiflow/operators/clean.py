@@ -97,3 +97,8 @@ def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
     """Per-row failure isolation: (valid, rejects) by a predicate; bad rows never stop the job."""
     ok = F.coalesce(rule, F.lit(False))
     return df.where(ok), df.where(~ok)
+
+
+def rows_from_map(df: DataFrame, map_col: str, key: str = "ticker") -> DataFrame:
+    """A map of key -> row struct (dict of dicts) to one row per key."""
+    return df.select(F.explode(F.col(map_col)).alias(key, "_row")).select(key, "_row.*")

@@ -105,3 +105,8 @@ def extract_csv(df: DataFrame, keys: list[str], header_start: str, columns: list
     good = body.where(F.col("_bad_seen") == 0)
     return good.select(*keys, (F.col("ln") - F.col("_hdr")).alias("row_no"),
                        *[trim_ws(F.element_at(parts, i + 1)).alias(c) for i, c in enumerate(columns)])
+
+
+def with_default(body: Column, path: str, default: str) -> Column:
+    """A JSON request field with a default when the request lacks it."""
+    return F.coalesce(F.get_json_object(body, path), F.lit(default))
