@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # Reply patterns of the reference.
 FORECAST = r"Forecast:\s*\[(.*?)\]"
 NUMBER = r"[-+]?\d+(\.\d+)?"
-STRIP = r"^\s+|\s+$"
+WHITESPACE = " \t\n\r\u000b\u000c"  # Java's ASCII \s set
 
 
 def _growth_pattern(label: str, strict: bool) -> str:
@@ -22,7 +22,7 @@ def _growth_pattern(label: str, strict: bool) -> str:
 
 def trim_ws(c: Column) -> Column:
     """Whitespace trim like Python ``str.strip`` / JS ``trim`` (Spark ``trim`` only strips spaces)."""
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def nonempty(c: Column) -> Column:
