@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from equiflow.llm import exact_dedup
+from equiflow.llm import exact_dedup, jaccard_join
 
 
 def queries():
-    return {"op2_exact_dedup": exact_dedup.op2_exact_dedup}
+    return {
+        "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    }
 
 
 def oracle_sql():
