@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from equiflow.llm import decontamination, exact_dedup, jaccard_join, language_id, packing
+from equiflow.llm import decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, packing
 
 
 def queries():
     return {
         "op1_packing": packing.op1_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_language_id": language_id.op4_language_id,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
