@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder of the session (see ``checkpointed``), for tables that a later job reads again."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="equiflow-"))
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of ``df`` (names are compared without case)."""
     taken = {c.lower() for c in df.columns}
