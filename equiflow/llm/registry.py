@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from equiflow.llm import decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, packing, secret_scan, token_counts
+from equiflow.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, packing, secret_scan, token_counts
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_language_id": language_id.op4_language_id,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_secret_scan": secret_scan.op6_secret_scan,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
