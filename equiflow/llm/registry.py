@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from equiflow.llm import decontamination, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, packing, secret_scan, token_counts
+from equiflow.llm import (
+    decontamination, exact_dedup, jaccard_join, language_id, line_dedup, lm_scoring, packing, secret_scan, token_counts, warc)
 
 
 def queries():
@@ -14,10 +15,11 @@ def queries():
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_warc": warc.op8_warc,
         "op9_decontamination": decontamination.op9_decontamination,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql():
-    return {"op2_exact_dedup": exact_dedup.OP2_SQL}
+    return {"op2_exact_dedup": exact_dedup.OP2_SQL, "op8_warc": warc.OP8_SQL}
