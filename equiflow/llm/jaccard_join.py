@@ -20,14 +20,18 @@ too and can be bought when nothing else is left.
 Rows with one segment hash meet in a partition, sorted, probers first, and are
 read as a stream: each row is paired with the first of its bucket, never all
 with all, and a bucket is never held.  Pairs are verified on the words of both
-texts.  Links give components; only buckets that still hold two components then
-pair rows across components (an equi-join that Spark can split), so no link is
-lost and large groups of copies cost one comparison per member and bucket head.
+texts.  Links give components; only buckets that still hold two components are
+read again, in blocks of bounded size: rows of different components are compared
+by sketches whose distance is never more than the sets' (so no link is lost).  Of the
+pairs left open first a spanning forest is verified, then, between components that are
+still apart, every one.  Pairs that are neither linked nor close never become rows,
+and a large group of copies costs one comparison per member and bucket head.
 Documents with equal sets are one class before all this.
 
 Edge cases: null or empty text has no shingles, is linked with nothing and is
 its own component; a null id keeps its row with a null component unless a document
-with an equal set has an id; rows that repeat an id are one node; other columns
+with an equal set has an id; rows that repeat an id are one node, and if their texts
+differ the largest text stands for it; other columns
 are ignored by ``jaccard_components`` and passed through by ``near_dedup``.
 """
 
@@ -44,6 +48,7 @@ from pyspark.sql import functions as F
 
 from equiflow.llm.common import checkpointed, free_name, partition_bound, table
 from equiflow.llm.components import components
+from equiflow.llm.words import ODD, blocks, hashes, lowered, mix, spans
 
 WIDTH = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -53,69 +58,39 @@ BAND_RATIO = 1.5
 DELETION_SEGMENTS = 6
 #: Shingles counted as frequent at most (steers costs only, no result depends on it): one MB to broadcast.
 FREQUENT = 65_536
-WORDS_AT_ONCE = 400_000
+#: Bits of the map that tells which texts verification needs: 4 MB whatever the input; when it fills up it only filters less.
+NEEDED_BITS = 1 << 25
 INDEX, INDEX_DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
 
-_M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _S30)) * _M1
-    x = (x ^ (x >> _S27)) * _M2
-    return x ^ (x >> _S31)
-
-
-class _WordHashes(dict):
-    """xxh64 of a word, kept between documents; emptied when it gets large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
+#: Bits of the difference sketch of a set (the parity of its shingles in each of so many classes).
+SKETCH_BITS = 1024
+#: Rows of a bucket that one task compares with as many others at a time.
+BLOCK_ROWS = 4096
 
 def words_of(text: str | None) -> list[bytes]:
     """A-Z lower-cased, split at [\\x20\\x09-\\x0D] (what bytes.lower and bytes.split do)."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def _sets(texts, width: int, hashes: _WordHashes) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, worked on some hundred thousand words at a time."""
-    held, count = [], 0
-    for text in texts:
-        held.append(words_of(text))
-        count += len(held[-1])
-        if count >= WORDS_AT_ONCE:
-            yield from _chunk(held, width, hashes)
-            held, count = [], 0
-    yield from _chunk(held, width, hashes)
-
-
-def _chunk(docs: list[list[bytes]], width: int, hashes: _WordHashes) -> Iterator[np.ndarray]:
-    total = sum(map(len, docs))
-    w = np.fromiter((hashes[x] for doc in docs for x in doc), np.uint64, total)
-    rolled = np.zeros(0, np.uint64)
-    if total >= width:
-        rolled = w[: total - width + 1].copy()
-        for k in range(1, width):
-            rolled = rolled * _P + w[k : total - width + 1 + k]
-        rolled = _mix(rolled)
-    at = 0
-    for doc in docs:
-        n = len(doc)
+    return lowered(text).split()
+
+
+def _shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    data, starts, ends, counts = spans(texts)
+    w = hashes(data, starts, ends)
+    rolled = w[: max(0, len(w) - width + 1)].copy()
+    for k in range(1, width):
+        rolled = rolled * ODD + w[k : k + len(rolled)]
+    rolled, out, at = mix(rolled), [], 0
+    for n in counts.tolist():
         if n >= width:
-            yield np.unique(rolled[at : at + n - width + 1])
+            out.append(np.unique(rolled[at : at + n - width + 1]))
         elif n:
-            x = np.uint64(n)
-            with np.errstate(over="ignore"):
-                for v in w[at : at + n]:
-                    x = _mix(np.array([x * _P + v], np.uint64))[0]
-            yield np.array([x], np.uint64)
+            x = np.full(1, n, np.uint64)
+            for k in range(n):
+                x = mix(x * ODD + w[at + k])
+            out.append(x)
         else:
-            yield rolled[:0]
+            out.append(w[:0])
         at += n
+    return out
 
 
 def bands_upto(size: int) -> list[tuple[int, int]]:
@@ -135,86 +110,84 @@ def segments_of(high: int) -> int:
 
 
 class _Signer:
+    """Signatures of sets; the document frequencies of frequent shingles steer which ones a set probes."""
+
     def __init__(self, frequent: np.ndarray, counts: np.ndarray):
         self.frequent, self.counts = frequent, counts
         self.bands = bands_upto(64)
 
     def df(self, h: np.ndarray) -> np.ndarray:
         if not len(self.frequent):
-            return np.ones(len(h))
+            return np.ones(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == h, self.counts[at], 1).astype(float)
-
-    def signatures(self, h: np.ndarray) -> np.ndarray:
-        """Packed (hash, role) of a set for its own band and the lower bands it probes."""
-        n = len(h)
-        if n > self.bands[-1][1]:
-            self.bands = bands_upto(2 * n)
-        df = self.df(h)
-        low_partner = -(-n * PERCENT // 100)
-        out = []
+        return np.where(self.frequent[at] == h, self.counts[at], 1)
+
+    def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Packed (hash, role) of non-empty sets, and the set of each: own band and the lower bands a set probes."""
+        sizes = np.array([len(h) for h in sets], np.int64)
+        if sizes.max() > self.bands[-1][1]:
+            self.bands = bands_upto(2 * int(sizes.max()))
+        df = np.split(self.df(np.concatenate(sets)), np.cumsum(sizes)[:-1])
+        least = -(-sizes * PERCENT // 100)
+        keys, of = [], []
         for k, (low, high) in enumerate(self.bands):
-            if high >= low_partner and low <= n:
-                out.append(self._band(h, df, k, high, own=n <= high))
-        return np.concatenate(out)
-
-    def _band(self, h: np.ndarray, df: np.ndarray, band: int, high: int, own: bool) -> np.ndarray:
-        n, m = len(h), segments_of(high)
-        need = (n + min(n, high)) * (100 - PERCENT) // (100 + PERCENT) + 1
-        salt = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        g = _mix(h ^ salt)
-        seg = (g % np.uint64(m)).astype(np.int64)
-        order = np.argsort(seg, kind="stable")
-        seg, g, df = seg[order], _mix(g[order]), df[order]
-        starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        full, size = seg[starts], np.diff(np.r_[starts, n])
-        sums = np.zeros(m, np.uint64)
+            here = np.flatnonzero((high >= least) & (low <= sizes))
+            if len(here):
+                key, at = self._band(np.concatenate([sets[i] for i in here]), np.concatenate([df[i] for i in here]), sizes[here], k, high)
+                keys.append(key)
+                of.append(here[at])
+        return np.concatenate(keys), np.concatenate(of)
+
+    def _band(self, h: np.ndarray, df: np.ndarray, sizes: np.ndarray, band: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        m, own = segments_of(high), sizes <= high
+        need = (sizes + np.minimum(sizes, high)) * (100 - PERCENT) // (100 + PERCENT) + 1
+        salt = np.uint64((band + 1) * int(ODD) & 0xFFFFFFFFFFFFFFFF)
+        g = mix(h ^ salt)
+        cell = np.repeat(np.arange(len(sizes)) * m, sizes) + (g % np.uint64(m)).astype(np.int64)  # (set, segment)
+        order = np.argsort(cell << 20 | np.minimum(df, (1 << 20) - 1))
+        cell, g, df = cell[order], mix(g[order]), df[order]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        full, count = cell[starts], np.diff(np.r_[starts, len(cell)])
+        sums = np.zeros(len(sizes) * m, np.uint64)
         sums[full] = np.add.reduceat(g, starts)
-        base = _mix(np.arange(m, dtype=np.uint64) * _P + salt)
-        whole = _mix(sums + base)
-        # unit costs: equal subsets first, one-deletion only after them, empty subsets last
-        rarest = np.minimum.reduceat(df, starts)
-        cost = np.full(m, 1e18)
-        cost[full] = rarest * (1 + 1 / size)
-        role = np.full(m, INDEX if own else 0, np.int64)
-        deleted = np.zeros(0, np.int64)
-        near = [(i, s, c) for i, s, c in zip(full, starts, size) if i < DELETION_SEGMENTS and c >= 2]
-        extra = [(np.partition(df[s : s + c], 1)[1] * (c + 1), i) for i, s, c in near]
-        by_cost = np.argsort(cost, kind="stable")
-        chosen = by_cost[:need]
-        if extra and (len(chosen) < need or min(extra)[0] < cost[chosen[-1]]):
-            units = sorted([(c, 0, i) for i, c in enumerate(cost)] + [(max(c, cost[i]), 1, i) for c, i in extra])[:need]
-            chosen = np.array([i for _, kind, i in units if not kind], np.int64)
-            deleted = np.array([i for _, kind, i in units if kind], np.int64)
-        role[chosen] |= PROBE
-        keys, roles = [whole[role > 0]], [role[role > 0]]
-        for i, s, c in near:
-            r = (INDEX_DELETED if own and c >= 3 else 0) | (PROBE_DELETED if i in deleted else 0)
-            if r:
-                keys.append(_mix(sums[i] - g[s : s + c] + base[i]))
-                roles.append(np.full(c, r, np.int64))
-        return (np.concatenate(keys) & np.uint64(0xFFFFFFFFFFFFFFF0)).view(np.int64) | (15 - np.concatenate(roles))
+        base = mix(np.arange(m, dtype=np.uint64) * ODD + salt)
+        # units by cost: equal subsets, then one-deletion of the same, empty subsets last
+        cost = np.full(len(sums), 1e18)
+        cost[full] = df[starts] * (1 + 1 / count)
+        near = np.flatnonzero((full % m < DELETION_SEGMENTS) & (count >= 2))
+        dear = np.maximum(df[starts[near] + 1] * (count[near] + 1.0), cost[full[near]])
+        unit_cell = np.r_[np.arange(len(sums)), full[near]]
+        unit_set = unit_cell // m
+        kind = np.r_[np.zeros(len(sums), np.int8), np.ones(len(near), np.int8)]
+        ranked = np.lexsort((kind, np.r_[cost, dear], unit_set))
+        first = np.searchsorted(unit_set[ranked], np.arange(len(sizes)))
+        bought = np.zeros(len(ranked), bool)
+        bought[ranked] = np.arange(len(ranked)) - first[unit_set[ranked]] < need[unit_set[ranked]]
+        role = np.where(np.repeat(own, m), INDEX, 0) | np.where(bought[: len(sums)], PROBE, 0)
+        some = np.flatnonzero(role)
+        keys, roles, cells = [mix(sums[some] + base[some % m])], [role[some]], [some]
+        gone = np.where(own[full[near] // m] & (count[near] >= 3), INDEX_DELETED, 0) | np.where(bought[len(sums) :], PROBE_DELETED, 0)
+        near, gone = near[gone > 0], gone[gone > 0]
+        if len(near):
+            at = np.repeat(starts[near] - np.r_[0, np.cumsum(count[near])[:-1]], count[near]) + np.arange(count[near].sum())
+            keys.append(mix(sums[cell[at]] - g[at] + base[cell[at] % m]))
+            roles.append(np.repeat(gone, count[near]))
+            cells.append(cell[at])
+        key = (np.concatenate(keys) & np.uint64(0xFFFFFFFFFFFFFFF0)).view(np.int64) | (15 - np.concatenate(roles))
+        return key, np.concatenate(cells) // m
 
 
 def _describe(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
         for batch in batches:
-            n, key, held, count, docs = [], [], [], 0, 0
-            heavy = []
-            for h in _sets(batch["text"], width, hashes):
-                n.append(len(h))
-                key.append(xxhash.xxh3_128_intdigest(h.tobytes()) if len(h) else None)
-                held.append(h)
-                docs, count = docs + 1, count + len(h)
-                if count >= 4 * WORDS_AT_ONCE:
-                    heavy.append(_frequent(held, docs))
-                    held, count, docs = [], 0, 0
-            heavy.append(_frequent(held, docs))
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": n, "hi": pd.array([None if k is None else _signed(k >> 64) for k in key], "Int64"), "lo": pd.array([None if k is None else _signed(k & (2**64 - 1)) for k in key], "Int64")})
-            for values, counts in heavy:
+            n, key = [], []
+            for sets in (_shingles(x, width) for x in blocks(batch["text"])):
+                n += [len(h) for h in sets]
+                key += [xxhash.xxh3_128_intdigest(h.tobytes()) if len(h) else None for h in sets]
+                values, counts = _frequent(sets)
                 if len(values):
                     yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(values), "Int64"), "n": counts, "hi": values.view(np.int64), "lo": 0})
+            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": n, "hi": pd.array([None if k is None else _signed(k >> 64) for k in key], "Int64"), "lo": pd.array([None if k is None else _signed(k & (2**64 - 1)) for k in key], "Int64")})
 
     return run
 
@@ -223,40 +196,33 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _frequent(held: list[np.ndarray], docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in more than one of 512 of the documents at hand (three at least)."""
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    all_of = np.sort(np.concatenate(held))
+def _frequent(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in more than one of 256 of the sets at hand (three at least)."""
+    all_of = np.sort(np.concatenate(sets))
     if not len(all_of):
         return all_of, np.zeros(0, np.int64)
     starts = np.flatnonzero(np.r_[True, all_of[1:] != all_of[:-1]])
     counts = np.diff(np.r_[starts, len(all_of)])
-    often = counts >= max(3, docs // 512)
+    often = counts >= max(3, len(sets) // 256)
     return all_of[starts][often], counts[often].astype(np.int64)
 
 
 def _sign(width: int, frequent: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, signer, seen = _WordHashes(), _Signer(frequent, counts), set()
+        signer, seen = _Signer(frequent, counts), set()
         for batch in batches:
-            keys, sids, count = [], [], 0
-            for h in _sets(batch.column("text").to_pylist(), width, hashes):
-                if not len(h):
-                    continue
-                sid = _signed(xxhash.xxh3_128_intdigest(h.tobytes()) >> 64)
-                if sid in seen:  # an equal set of this task has written them
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(sid)
-                keys.append(signer.signatures(h))
-                sids.append(np.full(len(keys[-1]), sid, np.int64))
-                count += len(keys[-1])
-                if count >= WORDS_AT_ONCE:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], ["key", "sid"])
-                    keys, sids, count = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], ["key", "sid"])
+            for sets in (_shingles(x, width) for x in blocks(batch.column("text").to_pylist())):
+                fresh, sids = [], []
+                for h in sets:
+                    sid = _signed(xxhash.xxh3_128_intdigest(h.tobytes()) >> 64)
+                    if len(h) and sid not in seen:  # else an equal set of this task has written them
+                        if len(seen) < 1_000_000:
+                            seen.add(sid)
+                        fresh.append(h)
+                        sids.append(sid)
+                if fresh:
+                    key, of = signer.signatures(fresh)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.array(sids, np.int64)[of])], ["key", "sid"])
 
     return run
 
@@ -281,13 +247,10 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (bucket, sid, role.astype(np.int32), head[at], head_role[at].astype(np.int32))], ["bucket", "sid", "role", "head", "head_role"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of ids whose texts link, by their words."""
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = texts.join(need, "doc_id", "left_semi")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts link, by their words."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def shingles(text: str) -> frozenset:
         w = words_of(text)
@@ -296,12 +259,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}
 
-        def of(doc_id, text):
-            if doc_id not in kept:
+        def of(node, text):
+            if node not in kept:
                 if len(kept) >= 64:
                     kept.clear()
-                kept[doc_id] = shingles(text)
-            return kept[doc_id]
+                kept[node] = shingles(text)
+            return kept[node]
 
         for x in batches:
             ok = []
@@ -314,6 +277,106 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
 
 
+def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``needed``, and few others, so that a join moves few texts.
+
+    The ids are marked in a map of fixed size, made in Spark from pieces of 4 KB.
+    """
+    place = F.xxhash64(F.col("node")).bitwiseAND(NEEDED_BITS - 1) + 1
+    marked = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros(NEEDED_BITS >> 3, np.uint8)
+    for r in marked.collect():
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = batch.column("p").to_numpy()
+            yield batch.filter(pa.array(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "text"])
+
+    keyed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(NEEDED_BITS - 1).alias("p"))
+    return keyed.mapInArrow(run, "doc_id long, text string")
+
+
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """``node, sketch``: parities of a set's shingles by class; two sets differ in as many shingles as bits, or more."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for sets in (_shingles(x, width) for x in blocks(batch["text"])):
+                for h in sets:
+                    odd = np.bincount((mix(h) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    out.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pd.DataFrame({"node": batch["node"], "sketch": out})
+
+    return texts.mapInPandas(run, "node long, sketch binary")
+
+
+def _across(forest: bool):
+    """Of sorted rows of cells (two blocks of a bucket, or one): pairs of different components that probe and may link.
+
+    Each pair is compared once in a cell, in numpy, and only those that sizes and
+    sketches leave open become rows; with ``forest`` only as many of them as connect the
+    components that they connect.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            where = rest[["bucket", "cell"]].to_numpy()
+            cuts = np.r_[0, np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1]
+            if len(cuts) > 1:
+                yield _open_pairs(rest.iloc[: cuts[-1]], cuts, forest)
+                rest = rest.iloc[cuts[-1] :]
+        if rest is not None and len(rest):
+            yield _open_pairs(rest, np.array([0, len(rest)]), forest)
+
+    return run
+
+
+def _open_pairs(rows: pd.DataFrame, cuts: np.ndarray, forest: bool) -> pd.DataFrame:
+    node, n, role, root, block = (rows[c].to_numpy() for c in ("node", "n", "role", "root", "block"))
+    sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    cuts = np.r_[cuts[cuts < len(rows)], len(rows)]
+    end = np.repeat(cuts[1:], np.diff(cuts))
+    whole = (rows["cell_first"] == rows["cell_last"]).to_numpy()
+    hit = lambda a, b: ((a & PROBE > 0) & (b & (INDEX | INDEX_DELETED) > 0)) | ((a & PROBE_DELETED > 0) & (b & INDEX > 0))
+    found, left = [], np.arange(len(rows))
+    for step in range(1, len(rows)):  # each row with the row so many places on in its cell
+        left = left[left + step < end[left]]
+        if not len(left):
+            break
+        keep = left[(root[left] != root[left + step]) & (whole[left] | (block[left] != block[left + step]))]
+        i, j = keep, keep + step
+        near = np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * PERCENT
+        i, j = i[near], j[near]
+        up = hit(role[j], role[i])
+        down = hit(role[i], role[j])
+        may = np.where(n[i] == n[j], up | down, np.where(n[j] > n[i], up, down))
+        i, j = i[may], j[may]
+        differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+        open_ = differ * (100 + PERCENT) <= (n[i] + n[j]) * (100 - PERCENT)
+        found.append(np.column_stack([i[open_], j[open_]]))
+    at = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    if forest:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        joins = []
+        for k, (x, y) in enumerate(zip(root[at[:, 0]].tolist(), root[at[:, 1]].tolist())):
+            x, y = top(x), top(y)
+            if x != y:
+                above[x] = y
+                joins.append(k)
+        at = at[joins]
+    return pd.DataFrame(np.unique(np.sort(node[at], axis=1), axis=0), columns=["a", "b"])
+
+
 def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(documents, classes, links)``: ``doc_id, n, hi, lo`` of each row; ``hi, lo, node, n`` of each distinct set
     (node: its smallest id); ``a, b`` between nodes, enough links to connect all that link."""
@@ -321,7 +384,7 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     base = checkpointed(docs.mapInPandas(_describe(width), "kind int, doc_id long, n long, hi long, lo long"))
     rows = base.where("kind = 0").select("doc_id", "n", "hi", "lo")
     classes = checkpointed(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
-    least = max(32, rows.count() // 512)
+    least = max(16, rows.count() // 1024)
     often = base.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "hi").limit(FREQUENT).toPandas()
     values = often["hi"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
@@ -333,31 +396,39 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     met = checkpointed(met.mapInArrow(_heads, "bucket long, sid long, role int, head long, head_role int"))
 
     nodes = classes.where("node is not null").select(F.col("hi").alias("sid"), "node", "n")
-    sized = f"least(na, nb) * 100 >= greatest(na, nb) * {PERCENT} and a != b"
-    shared = nodes.alias("x").join(nodes.alias("y"), "sid").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))  # ids of sets that clash
+    shared = nodes.alias("x").join(nodes.alias("y"), "sid").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))  # sets whose short ids clash
     pairs = (
         met.select("sid", "head").distinct()
         .join(nodes.select("sid", F.col("node").alias("a"), F.col("n").alias("na")), "sid")
         .join(nodes.select(F.col("sid").alias("head"), F.col("node").alias("b"), F.col("n").alias("nb")), "head")
-        .where(sized).select("a", "b").union(shared))
+        .where(f"least(na, nb) * 100 >= greatest(na, nb) * {PERCENT} and a != b").select("a", "b").union(shared))
     pairs = checkpointed(pairs.select("a", "b").distinct())
-    first = checkpointed(_verified(pairs, docs, width))
-
-    # what a bucket head could not tell: rows of one bucket that are in different components by now
-    roots = components(first)
-    members = met.select("bucket", "sid", "role").union(met.select("bucket", F.col("head").alias("sid"), F.col("head_role").alias("role")).distinct())
-    members = members.join(nodes, "sid").join(roots, "node", "left").select("bucket", "node", "n", "role", F.coalesce("root", "node").alias("root"))
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    open_rows = checkpointed(members.join(mixed, "bucket", "left_semi"))
-    rest = (
-        open_rows.where(F.col("role") >= PROBE).select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("role").alias("ra"), F.col("root").alias("xa"))
-        .join(open_rows.where(F.col("role").bitwiseAND(INDEX | INDEX_DELETED) > 0).select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("role").alias("rb"), F.col("root").alias("xb")), "bucket")
-        .where(f"xa != xb and na >= nb and {sized}")
-        .where(f"((ra & {PROBE}) > 0 or ((ra & {PROBE_DELETED}) > 0 and (rb & {INDEX}) > 0))")
-        .select("a", "b").distinct())
-    tried = pairs.union(pairs.select("b", "a"))
-    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
-    return rows, classes, first.union(_verified(rest, docs, width))
+    needed = checkpointed(met.select("sid").union(met.select("head")).distinct().join(nodes, "sid").select("node").union(shared.select("a")).union(shared.select("b")).distinct())
+    texts = checkpointed(_likely(docs, needed).join(needed, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")))
+    first = checkpointed(_verified(pairs, texts, width))
+
+    # what a bucket head could not tell: rows of one bucket that are in different components by now; first
+    # pairs that would connect all components, then, with those verified, every pair left open
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = met.select("bucket", "sid", "role").union(met.select("bucket", F.col("head").alias("sid"), F.col("head_role").alias("role")).distinct()).join(nodes, "sid").drop("sid")
+    links = first
+    for forest in (True, False):
+        roots = components(links)
+        more = checkpointed(_cells(members, roots, texts, width, parts).mapInPandas(_across(forest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checkpointed(_verified(more, texts, width)))
+        tried = tried.union(more)
+    return rows, classes, links
+
+
+def _cells(members: DataFrame, roots: DataFrame, texts: DataFrame, width: int, parts: int) -> DataFrame:
+    """Rows of the buckets that hold two components, dealt to cells of two blocks (or one) of their bucket, sorted."""
+    members = members.join(roots, "node", "left").select("bucket", "node", "n", "role", F.coalesce("root", "node").alias("root"))
+    mixed = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks")).where("x != y").select("bucket", "blocks")
+    rows = members.join(mixed, "bucket").join(_sketches(texts, width), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "node", "n", "role", "root", "sketch", "block", F.least("block", "other").alias("cell_first"), F.greatest("block", "other").alias("cell_last"))
+    cells = cells.withColumn("cell", F.col("cell_first").cast("long") * (1 << 31) + F.col("cell_last"))
+    return cells.repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
 
 
 def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:

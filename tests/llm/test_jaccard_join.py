@@ -100,7 +100,7 @@ def test_any_allocation_finds_every_pair():
         s = J._Signer(often, r.integers(3, 10_000, len(often)))
         roles = []
         for x in (a, b):
-            k = s.signatures(x)
+            k, _ = s.signatures([x])
             roles.append({})
             for key in k.tolist():
                 roles[-1][key >> 4] = roles[-1].get(key >> 4, 0) | (15 - (key & 15))
@@ -120,3 +120,18 @@ def test_edge_cases(spark):
     kept = J.near_dedup(spark.createDataFrame([(x[0], x[1], "a", "b", "c") for x in rows], SCHEMA))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 6, 8, 9] and kept.columns == df.columns
     assert J.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_unlinked_rows_of_one_bucket_in_small_blocks(spark, monkeypatch):
+    """A group whose members are near the threshold, with blocks of four rows."""
+    monkeypatch.setattr(J, "BLOCK_ROWS", 4)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(120):
+        x = list(base)
+        for _ in range(r.randrange(2, 9)):
+            k = r.randrange(len(x))
+            x[k : k + 1] = [f"e{r.randrange(40)}"] * r.choice([0, 1, 2])
+        rows.append((i, " ".join(x)))
+    assert run(spark, rows) == brute(rows)
