@@ -1,17 +1,21 @@
-"""Exponentially weighted means (W05, W06) with built-in window sums.
+"""Exponentially weighted means (W05, W06) with built-in sums, exact over series of any length.
 
 Recurrence ``y_t = q*y_{t-1} + a*x_t`` (``adjust=False``, seeded ``y_0 = x_0``)
 or the normalised mean ``sum q^(t-k) x_k / sum q^(t-k)`` (``adjust=True``),
-with ``q = 1 - a``.  Inside a block partition (see ``series.with_blocks``) the
-rows are cut into sub-blocks of ``B`` rows; within a sub-block
+with ``q = 1 - a``.  The series is cut into sub-blocks of ``B`` positions
+(``i // B``); within one
 
-    s_j = q^r * sum_{k <= j in sub-block} w_k * q^(-r_k)        (r = j mod B)
+    s_j = q^r * sum_{k <= j in sub-block} w_k * q^(-r_k)        (r = i mod B)
 
-is a running window sum, and the value carried in from the previous sub-block
-is its last ``s``.  ``B`` spans at least 40 e-folds of ``q`` (``q^B < e^-40``),
-so anything from two sub-blocks back, or from before the block's halo, is
-below 1e-17 relative; ``q^-B`` stays far from overflow.  Several EWMs with the
-same ``B`` share one Window operator.
+is a running window sum.  What older sub-blocks carry in is a sum over their
+last ``s``, each weaker by ``q^B``; as ``q^B < e^-40``, the last ``CHAIN`` of them hold
+everything a double can.  Those sums are one row per sub-block: a partial
+aggregate, a window over the ticker's sub-blocks (1/``B`` of its rows), and one map
+per block joined back on (ticker, block), so the rows themselves are not dealt again.
+
+The halo of a blocked frame must hold one whole sub-block (``B`` rows, and one more
+for differences), and ``block_rows`` must be a multiple of ``B``: then running sums
+of copied rows are complete too.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 EFOLDS = 40.0
 _MAX_EXP = 650.0
+#: e^-40 to this power is below the least double.
+CHAIN = 19
 
 
 def sub_block_rows(*alphas: float) -> int:
@@ -42,49 +48,45 @@ def alpha_from(span: float | None = None, com: float | None = None) -> float:
     raise ValueError("give span or com")
 
 
-def _sub_block_sum(x: Column, alpha: float, adjust: bool, B: int, lead: int,
-                   key: str) -> tuple[Column, Column]:
-    """In-sub-block running sum ``s`` and position ``r`` for one EWM."""
-    q = 1.0 - alpha
-    o = F.when(F.col("_first"), F.lit(0)).otherwise(F.lit(lead))
-    jj = F.col("j") - o
-    b = F.floor(jj / F.lit(B))
-    r = jj - b * F.lit(B)
-    if adjust:
-        w = x
-    else:
-        w = F.when(F.col("i") == 0, x).otherwise(F.lit(alpha) * x)
-    w = F.when(jj < 0, F.lit(0.0)).otherwise(w)
-    sub = Window.partitionBy(key, "_blk", b).orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    s = F.pow(F.lit(q), r) * F.sum(w * F.pow(F.lit(q), -r)).over(sub)
-    return s, r
-
-
-def ewm_frame(df: DataFrame, specs: dict[str, tuple[Column, float, bool, int]], B: int, lead: int = 0,
+def _weighted(x: Column, alpha: float, adjust: bool, B: int) -> Column:
+    """``w_k * q^(-r_k)`` of a row."""
+    w = x if adjust else F.when(F.col("i") == 0, x).otherwise(F.lit(alpha) * x)
+    return w * F.pow(F.lit(1.0 - alpha), -(F.col("i") % B))
+
+
+def ewm_frame(df: DataFrame, specs: dict[str, tuple[Column, float, bool, int]], B: int, block_rows: int,
               key: str = "ticker") -> DataFrame:
     """Add one EWM column per ``name: (x, alpha, adjust, min_periods)`` to a blocked frame.
 
-    The frame has ``_blk``, ``j``, ``i`` and ``_first`` (``series.with_blocks``).
-    ``lead``: rows at the start of a non-first block partition that are ignored
-    because their ``x`` is not exact yet (an EWM of an EWM); the block halo
-    must cover ``lead + B`` rows.
+    The frame has ``_blk``, ``_halo``, ``j`` and ``i`` (``series.with_blocks`` with a halo of more than ``B`` rows).
     """
-    tmp = {}
-    for name, (x, alpha, adjust, _mp) in specs.items():
-        s, r = _sub_block_sum(x, alpha, adjust, B, lead, key)
-        tmp[f"_s_{name}"] = s
-        tmp[f"_r_{name}"] = r
-    df = df.withColumns(tmp)
-    carry_w = Window.partitionBy(key, "_blk").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    if block_rows % B:
+        raise ValueError(f"block_rows must be a multiple of {B}")
+    df = df.withColumn("_sub", F.floor(F.col("i") / B).cast("long"))
+    r = (F.col("i") % B).cast("double")
+    ends = df.where(~F.col("_halo")).groupBy(key, "_blk", "_sub").agg(*[
+        (F.sum(_weighted(x, alpha, adjust, B)) * F.lit((1.0 - alpha) ** (B - 1))).alias(name)
+        for name, (x, alpha, adjust, _mp) in specs.items()])
+    order = Window.partitionBy(key).orderBy("_sub")
+    carried = ends.select(key, "_blk", "_sub", F.struct(*[
+        sum((F.coalesce(F.lag(name, m).over(order), F.lit(0.0)) * F.lit(((1.0 - alpha) ** B) ** (m - 1)) for m in range(1, CHAIN + 1)),
+            F.lit(0.0)).alias(name)
+        for name, (_x, alpha, _adjust, _mp) in specs.items()]).alias("_c"))
+    # the last sub-block of a block is also the halo of the next one
+    per_block = F.lit(block_rows // B)
+    carried = carried.withColumn("_to", F.explode(F.when(
+        F.col("_sub") % per_block == per_block - 1, F.array("_blk", F.col("_blk") + 1)).otherwise(F.array("_blk"))))
+    by_block = carried.groupBy(F.col(key).alias("_k"), "_to").agg(F.map_from_entries(F.collect_list(F.struct("_sub", "_c"))).alias("_carry"))
+    df = df.join(by_block, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_blk") == F.col("_to")), "left")
+    sub = Window.partitionBy(key, "_blk", "_sub").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     out = {}
-    for name, (_x, alpha, adjust, mp) in specs.items():
-        q = 1.0 - alpha
-        s, r = F.col(f"_s_{name}"), F.col(f"_r_{name}")
-        carry = F.last(F.when(r == B - 1, s), ignorenulls=True).over(carry_w)
-        y = s + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(q), r + 1)
+    for name, (x, alpha, adjust, mp) in specs.items():
+        q = F.lit(1.0 - alpha)
+        s = F.pow(q, r) * F.sum(_weighted(x, alpha, adjust, B)).over(sub)
+        y = s + F.coalesce(F.try_element_at("_carry", F.col("_sub"))[name], F.lit(0.0)) * F.pow(q, r + 1)
         if adjust:
-            y = y * F.lit(alpha) / (F.lit(1.0) - F.pow(F.lit(q), F.col("i") + 1))
+            y = y * F.lit(alpha) / (F.lit(1.0) - F.pow(q, F.col("i") + 1))
         if mp > 1:
             y = F.when(F.col("i") >= mp - 1, y)
         out[name] = y
-    return df.withColumns(out).drop(*tmp.keys())
+    return df.withColumns(out).drop("_k", "_to", "_carry", "_sub")

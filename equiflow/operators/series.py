@@ -12,10 +12,13 @@ does not survive a ticker holding a third of all rows.  Instead:
    (ticker, bucket).  ``i`` is the 0-based global position.
 2. ``with_blocks``: cut the series into blocks of ``block_rows`` positions and
    copy the last ``halo`` rows of each block into the next one, so every
-   window of up to ``halo`` rows (and every EWM lead-in) is complete inside one
-   (ticker, block) partition.  All later windows partition by
-   ``(ticker, _blk[, ...])`` and reuse one hash exchange.
+   window of up to ``halo`` rows is complete inside one (ticker, block)
+   partition.  The frame is dealt by ``(ticker, _blk)`` once; all later windows
+   partition by ``(ticker, _blk[, ...])`` and need no further exchange.
 3. ``drop_halo``: keep each row once, in its own block.
+
+Rows with a NULL position column cannot be placed; callers split them off first
+(``technical.quarantine``), ``series_index`` itself numbers them before all others.
 """
 
 from __future__ import annotations
@@ -23,23 +26,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 16384
+from equiflow.sources.tables import shared
+
+BLOCK_ROWS = 16200
+
+
+def order_bucket(df: DataFrame, col: str) -> Column:
+    """A coarse order-keeping bucket of a column, from its value alone: at most some ten thousand of them.
+
+    Numbers, dates and times: 64 buckets per power of two, either sign; text: its first two characters; NULL is NULL.
+    """
+    kind, c = df.schema[col].dataType.typeName(), F.col(col)
+    if kind == "string":
+        return F.substring(c, 1, 2)
+    if kind == "date":
+        c = F.datediff(c, F.lit("1970-01-01").cast("date"))
+    elif kind.startswith("timestamp"):
+        c = F.unix_micros(c.cast("timestamp"))
+    x = c.cast("double")
+    return F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 64)
 
 
 def series_index(df: DataFrame, key: str = "ticker", order: str = "dt", bucket: Column | None = None,
                  out: str = "i") -> DataFrame:
     """Add the 0-based position ``out`` of each row in its key's series ordered by ``order``."""
     bucket = F.trunc(F.col(order), "month") if bucket is None else bucket
-    b = df.withColumn("_bucket", bucket)
+    b = shared(df.withColumn("_bucket", bucket))  # read once for the counts and the rows
     counts = b.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order))
-    # left join: an inner join would infer an extra NOT NULL filter on one branch only and stop
-    # Spark from reusing the exchange of ``df`` for the counts and the rows
-    return (b.join(offsets, [key, "_bucket"], "left")
+    offsets = offsets.withColumnsRenamed({key: "_k", "_bucket": "_b"})
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))
+    return (b.join(offsets, same, "left")
             .withColumn(out, (F.col("_off") + rn - 1).cast("long"))
-            .drop("_bucket", "_off"))
+            .drop("_bucket", "_off", "_k", "_b"))
 
 
 def with_blocks(df: DataFrame, halo: int, key: str = "ticker", i: str = "i",
@@ -60,7 +81,8 @@ def with_blocks(df: DataFrame, halo: int, key: str = "ticker", i: str = "i",
     return (df.withColumn("_blk", F.explode(targets))
             .withColumn("_halo", F.col("_blk") != own)
             .withColumn("j", pos - start)
-            .withColumn("_first", F.col("_blk") == 0))
+            .withColumn("_first", F.col("_blk") == 0)
+            .repartition(key, "_blk"))
 
 
 def block_window(key: str = "ticker", order: str = "j") -> Window:

@@ -8,11 +8,12 @@ many tasks and every window below reuses the same hash exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiflow.operators.ewm import alpha_from, ewm_frame, sub_block_rows
-from equiflow.operators.series import BLOCK_ROWS, block_window, drop_halo, series_index, with_blocks
+from equiflow.operators.series import block_window, drop_halo, series_index, with_blocks
+from equiflow.sources.tables import shared
 
 # Indicator parameters of the reference.
 SMA_WINDOWS = (20, 50)
@@ -21,29 +22,34 @@ MACD_FAST, MACD_SLOW, MACD_SIGNAL = 12, 26, 9
 
 EWM_ROWS = sub_block_rows(alpha_from(span=MACD_FAST), alpha_from(span=MACD_SLOW),
                           alpha_from(span=MACD_SIGNAL), alpha_from(com=RSI_PERIOD - 1))
-# lead-in for an EWM of an EWM (MACD signal) plus its own sub-block
-HALO = max(2 * EWM_ROWS, max(SMA_WINDOWS))
+# one sub-block, and a row for differences
+HALO = max(EWM_ROWS + 1, max(SMA_WINDOWS))
+BLOCK_ROWS = EWM_ROWS * 30
+#: Differences below this share of the price are rounding: no cross, no trend, flat.
+TOLERANCE = 1e-11
 
 
-def quarantine_null_close(prices: DataFrame, close: str = "close") -> tuple[DataFrame, DataFrame]:
-    """Q22: rows with a NULL close go to a rejects output before any indicator."""
-    return prices.where(F.col(close).isNotNull()), prices.where(F.col(close).isNull())
+def quarantine(prices: DataFrame, key: str = "ticker", order: str = "dt", close: str = "close") -> tuple[DataFrame, DataFrame]:
+    """Q22: ``(usable rows, rejects)``; a row without key, date or close cannot enter a series."""
+    bad = F.col(key).isNull() | F.col(order).isNull() | F.col(close).isNull()
+    reason = F.when(F.col(key).isNull(), "no ticker").when(F.col(order).isNull(), "no date").otherwise("no close")
+    return prices.where(~bad), prices.where(bad).withColumn("reason", reason)
 
 
 def blocked_prices(prices: DataFrame, key: str = "ticker", order: str = "dt", halo: int = HALO,
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
-    valid, _ = quarantine_null_close(prices)
+    """The usable rows as a blocked frame; ``quarantine(prices)[1]`` has the others."""
+    valid, _ = quarantine(prices, key, order)
     return with_blocks(series_index(valid, key, order), halo, key, block_rows=block_rows)
 
 
-def require_columns(df: DataFrame, cols: tuple[str, ...], on_missing: str = "raise") -> DataFrame | None:
-    """Schema guard; ``on_missing='passthrough'`` returns the input unchanged."""
+def require_columns(df: DataFrame, cols: tuple[str, ...], on_missing: str = "raise") -> DataFrame:
+    """Schema guard for ``transform``: ``df`` itself, or an error that names the missing columns
+    (``on_missing='passthrough'``: ``df`` unchanged, the caller's step is skipped)."""
     missing = [c for c in cols if c not in df.columns]
-    if not missing:
-        return None
-    if on_missing == "passthrough":
-        return df
-    raise ValueError(f"missing required columns {missing}")
+    if missing and on_missing != "passthrough":
+        raise ValueError(f"missing required columns {missing}")
+    return df
 
 
 def sma(b: DataFrame, n: int, col: str = "close", out: str | None = None, key: str = "ticker") -> DataFrame:
@@ -73,27 +79,32 @@ def _rsi_value(ag: str = "avg_gain", al: str = "avg_loss"):
             .otherwise(F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + g / l_)))
 
 
-def rsi(b: DataFrame, n: int = RSI_PERIOD, col: str = "close", key: str = "ticker") -> DataFrame:
+def rsi(b: DataFrame, n: int = RSI_PERIOD, col: str = "close", key: str = "ticker", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """RSI with normalised EWM (com = n-1, min_periods = n), zero-loss rules of Q20."""
     b = gain_loss(delta(b, col, key=key))
     a = alpha_from(com=n - 1)
     b = ewm_frame(b, {"avg_gain": (F.col("gain"), a, True, n),
-                      "avg_loss": (F.col("loss"), a, True, n)}, EWM_ROWS, key=key)
+                      "avg_loss": (F.col("loss"), a, True, n)}, EWM_ROWS, block_rows, key=key)
     return b.withColumn("rsi", _rsi_value())
 
 
 def macd(b: DataFrame, fast: int = MACD_FAST, slow: int = MACD_SLOW, signal: int = MACD_SIGNAL,
-         col: str = "close", key: str = "ticker") -> DataFrame:
+         col: str = "close", key: str = "ticker", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Recursive EMAs, MACD line, signal line and histogram."""
     b = ewm_frame(b, {"ema_fast": (F.col(col), alpha_from(span=fast), False, 0),
-                      "ema_slow": (F.col(col), alpha_from(span=slow), False, 0)}, EWM_ROWS, key=key)
-    b = b.withColumn("macd", F.col("ema_fast") - F.col("ema_slow"))
+                      "ema_slow": (F.col(col), alpha_from(span=slow), False, 0)}, EWM_ROWS, block_rows, key=key)
+    b = b.withColumn("macd", settled(F.col("ema_fast") - F.col("ema_slow"), F.col("ema_slow")))
     b = ewm_frame(b, {"macd_signal": (F.col("macd"), alpha_from(span=signal), False, 0)},
-                  EWM_ROWS, lead=EWM_ROWS, key=key)
-    return b.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+                  EWM_ROWS, block_rows, key=key)
+    return b.withColumn("macd_hist", settled(F.col("macd") - F.col("macd_signal"), F.col("ema_slow")))
 
 
-def indicators(b: DataFrame, key: str = "ticker") -> DataFrame:
+def settled(difference: Column, scale: Column) -> Column:
+    """A difference, 0 where it is only rounding against ``scale``."""
+    return F.when(F.abs(difference) <= F.abs(scale) * TOLERANCE, F.lit(0.0)).otherwise(difference)
+
+
+def indicators(b: DataFrame, key: str = "ticker", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """W01-W10 on a blocked frame; all first-stage EWMs share one window pass."""
     for n in SMA_WINDOWS:
         b = sma(b, n, key=key)
@@ -104,11 +115,11 @@ def indicators(b: DataFrame, key: str = "ticker") -> DataFrame:
         "avg_loss": (F.col("loss"), a_rsi, True, RSI_PERIOD),
         "ema_fast": (F.col("close"), alpha_from(span=MACD_FAST), False, 0),
         "ema_slow": (F.col("close"), alpha_from(span=MACD_SLOW), False, 0),
-    }, EWM_ROWS, key=key)
-    b = b.withColumns({"rsi": _rsi_value(), "macd": F.col("ema_fast") - F.col("ema_slow")})
+    }, EWM_ROWS, block_rows, key=key)
+    b = b.withColumns({"rsi": _rsi_value(), "macd": settled(F.col("ema_fast") - F.col("ema_slow"), F.col("ema_slow"))})
     b = ewm_frame(b, {"macd_signal": (F.col("macd"), alpha_from(span=MACD_SIGNAL), False, 0)},
-                  EWM_ROWS, lead=EWM_ROWS, key=key)
-    return b.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+                  EWM_ROWS, block_rows, key=key)
+    return b.withColumn("macd_hist", settled(F.col("macd") - F.col("macd_signal"), F.col("ema_slow")))
 
 
 INDICATOR_COLUMNS = ("sma_20", "sma_50", "rsi", "macd", "macd_signal", "macd_hist")
@@ -122,7 +133,7 @@ def drop_incomplete(df: DataFrame, cols: tuple[str, ...] | list[str]) -> DataFra
 def technical_indicators(prices: DataFrame, key: str = "ticker", dropna: bool = True,
                          block_rows: int = BLOCK_ROWS) -> DataFrame:
     """SMA 20/50, RSI 14, MACD 12/26/9 for every ticker; rows with any NULL indicator dropped."""
-    out = drop_halo(indicators(blocked_prices(prices, key, block_rows=block_rows), key))
+    out = drop_halo(indicators(blocked_prices(prices, key, block_rows=block_rows), key, block_rows))
     return drop_incomplete(out, INDICATOR_COLUMNS) if dropna else out
 
 
@@ -136,12 +147,13 @@ def _sign_change(cur, prev, up: str, down: str):
 def trend_signal(b: DataFrame, key: str = "ticker") -> DataFrame:
     """Close vs SMA20 vs SMA50 and golden/death crosses of SMA20 over SMA50."""
     c, s20, s50 = F.col("close"), F.col("sma_20"), F.col("sma_50")
-    diff = s20 - s50
+    diff = settled(s20 - s50, s50)
+    above = settled(c - s20, s20)
     prev = F.lag(diff).over(block_window(key))
     return b.withColumns({
         "trend": F.when(s20.isNull() | s50.isNull(), F.lit(None).cast("string"))
-        .when((c > s20) & (s20 > s50), F.lit("uptrend"))
-        .when((c < s20) & (s20 < s50), F.lit("downtrend"))
+        .when((above > 0) & (diff > 0), F.lit("uptrend"))
+        .when((above < 0) & (diff < 0), F.lit("downtrend"))
         .otherwise(F.lit("sideways")),
         "ma_cross": _sign_change(diff, prev, "golden_cross", "death_cross"),
     })
@@ -160,10 +172,11 @@ def macd_signal(b: DataFrame, key: str = "ticker") -> DataFrame:
     w = block_window(key)
     h = F.col("macd_hist")
     prev = F.lag(h).over(w)
+    step = settled(h - prev, F.col("ema_slow"))
     return b.withColumns({
         "macd_cross": _sign_change(h, prev, "bullish", "bearish"),
         "hist_direction": F.when(prev.isNull(), F.lit(None).cast("string"))
-        .when(h > prev, F.lit("rising")).when(h < prev, F.lit("falling")).otherwise(F.lit("flat")),
+        .when(step > 0, F.lit("rising")).when(step < 0, F.lit("falling")).otherwise(F.lit("flat")),
     })
 
 
@@ -179,8 +192,8 @@ def price_action(b: DataFrame) -> DataFrame:
     """Bullish / bearish / consolidating by a vote of trend, MACD and RSI."""
     def vote(cond_up, cond_down):
         return F.when(cond_up, F.lit(1)).when(cond_down, F.lit(-1)).otherwise(F.lit(0))
-    score = (vote(F.col("close") > F.col("sma_50"), F.col("close") < F.col("sma_50"))
-             + vote(F.col("macd") > F.col("macd_signal"), F.col("macd") < F.col("macd_signal"))
+    over = settled(F.col("close") - F.col("sma_50"), F.col("sma_50"))
+    score = (vote(over > 0, over < 0) + vote(F.col("macd_hist") > 0, F.col("macd_hist") < 0)
              + vote(F.col("rsi") > 50, F.col("rsi") < 50))
     return b.withColumns({
         "bias_score": score.cast("int"),
@@ -193,8 +206,9 @@ def trailing_period(prices: DataFrame, months: int = 12, key: str = "ticker", or
     """Keep each ticker's last ``months`` months (``period='1y'``), relative to its latest date.
 
     The latest date per ticker is a partial aggregate joined back (AQE broadcasts
-    it when small), not a whole-ticker window.
+    it when small), not a whole-ticker window; the prices are read once for both.
     """
+    prices = shared(prices)
     last = prices.groupBy(key).agg(F.max(order).alias("_last"))
     return (prices.join(last, key)
             .where(F.col(order) >= F.add_months(F.col("_last"), -months))

@@ -38,7 +38,7 @@ def long_series(spark):
     return spark.createDataFrame(rows, "ticker long, dt date, close double"), rows
 
 
-@pytest.mark.parametrize("block_rows", [1100, 1500, 16384])
+@pytest.mark.parametrize("block_rows", [2 * T.EWM_ROWS, 3 * T.EWM_ROWS, T.BLOCK_ROWS])
 def test_indicators_match_pandas_across_blocks(spark, long_series, block_rows):
     df, rows = long_series
     got = (T.technical_indicators(df, dropna=False, block_rows=block_rows)
@@ -72,8 +72,8 @@ def test_ewm_span3_recursive(spark):
 
     df = spark.createDataFrame([(1, dt.date(2000, 1, k + 1), v) for k, v in enumerate([1.0, 2.0, 4.0])],
                                "ticker long, dt date, x double")
-    b = with_blocks(series_index(df), halo=10)
-    out = drop_halo(ewm_frame(b, {"y": (F.col("x"), 0.5, False, 0)}, B=60)).orderBy("dt")
+    b = with_blocks(series_index(df), halo=61, block_rows=120)
+    out = drop_halo(ewm_frame(b, {"y": (F.col("x"), 0.5, False, 0)}, 60, 120)).orderBy("dt")
     assert [r.y for r in out.collect()] == [1.0, 1.5, 2.75]
 
 
@@ -82,3 +82,36 @@ def test_sma_short_series_is_null(spark):
                                "ticker long, dt date, close double")
     out = T.technical_indicators(df, dropna=False)
     assert out.where(F.col("sma_20").isNotNull()).count() == 0
+
+
+def _series(spark, closes):
+    d0 = dt.date(1990, 1, 1)
+    return spark.createDataFrame([(1, d0 + dt.timedelta(days=k), float(c)) for k, c in enumerate(closes)], "ticker long, dt date, close double")
+
+
+@pytest.mark.parametrize("block_rows", [2 * T.EWM_ROWS, T.BLOCK_ROWS])
+def test_rsi_keeps_old_gains_over_a_long_flat_stretch(spark, block_rows):
+    rng = np.random.default_rng(3)
+    closes = np.r_[100 + np.cumsum(rng.normal(0, 1, 60)), np.full(1600, 100.0)]
+    got = T.technical_indicators(_series(spark, closes), dropna=False, block_rows=block_rows).orderBy("dt").toPandas()
+    ref = _pandas_reference(pd.Series(closes))
+    assert np.array_equal(got["rsi"].isna(), ref["rsi"].isna())
+    m = ~ref["rsi"].isna()
+    assert np.allclose(got["rsi"][m].astype(float), ref["rsi"][m], rtol=1e-7)
+
+
+@pytest.mark.parametrize("block_rows", [2 * T.EWM_ROWS, T.BLOCK_ROWS])
+def test_flat_series_has_no_signal(spark, block_rows):
+    b = T.blocked_prices(_series(spark, np.full(1300, 5.1)).withColumns({"low": F.lit(5.1), "high": F.lit(5.1)}), block_rows=block_rows)
+    out = T.drop_halo(T.price_action(T.macd_signal(T.trend_signal(T.indicators(b, block_rows=block_rows))))).toPandas()
+    assert (out["macd"] == 0).all() and (out["macd_hist"] == 0).all()
+    assert out["macd_cross"].isna().all() and out["ma_cross"].isna().all()
+    assert set(out["hist_direction"].dropna()) == {"flat"} and set(out["trend"].dropna()) == {"sideways"}
+    assert set(out["bias"]) == {"consolidating"}
+
+
+def test_rows_without_key_date_or_close_are_rejects(spark):
+    day = dt.date(2000, 1, 1)
+    df = spark.createDataFrame([(1, day, 1.0), (1, None, 1.0), (1, day, None), (None, day, 1.0)], "ticker long, dt date, close double")
+    good, bad = T.quarantine(df)
+    assert good.count() == 1 and sorted(r.reason for r in bad.collect()) == ["no close", "no date", "no ticker"]
