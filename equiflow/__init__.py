@@ -5,7 +5,3 @@ function that works on all tickers at once.  Nothing is collected to the
 driver; per-ticker work is partitioned by ``ticker`` (and by a row block for
 long series, see ``operators.series``).
 """
-
-from equiflow.session import build_session, checkpoint_dir  # noqa: F401
-
-__all__ = ["build_session", "checkpoint_dir"]

@@ -55,6 +55,15 @@ SELECT s.s_suppkey AS ticker, s.s_name AS name, r.r_name AS sector, n.n_name AS
        ELSE CAST(5 + s.s_suppkey % 20 AS DOUBLE) / 10.0 END AS beta,
   CASE WHEN s.s_suppkey % 8 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(1000 + s.s_suppkey * 10 AS DOUBLE) END AS shares_outstanding
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey)""",
+    "v_company": """v_company AS (
+SELECT ticker, name, sector, industry, COALESCE(printf('%.2f', market_cap), 'N/A') AS market_cap,
+  CASE WHEN ticker % 4 <> 0 AND market_cap > 0 THEN printf('%.2f', market_cap / 100000.0) ELSE 'N/A' END AS trailing_pe,
+  CASE WHEN ticker % 3 = 0 THEN printf('%.2f', CAST(ticker % 5 AS DOUBLE) / 100.0) ELSE 'N/A' END AS dividend_yield,
+  CASE WHEN ticker % 5 <> 1 THEN printf('%.2f', CAST(ticker % 30 AS DOUBLE) / 100.0) ELSE 'N/A' END AS profit_margin,
+  COALESCE(printf('%.2f', beta), 'N/A') AS beta FROM v_info)""",
+    "v_universe": """v_universe AS (
+SELECT CASE WHEN s_suppkey % 2 = 0 THEN CHR(CAST(65 + s_suppkey % 11 AS INT)) || CHR(CAST(75 + s_suppkey % 11 AS INT))
+  ELSE CHR(CAST(65 + s_suppkey % 5 AS INT)) || 'Q' END AS symbol, MIN(s_name) AS name FROM supplier GROUP BY 1)""",
     "v_scores": """v_scores AS (
 SELECT ticker, name, sector, CAST(ticker % 6 AS INT) AS ethics_score, CAST((ticker * 7) % 6 AS INT) AS volatility_score,
   CAST((ticker * 11) % 6 AS INT) AS growth_score
@@ -62,7 +71,8 @@ FROM v_info)""",
     "v_replies": """v_replies AS (
 SELECT o_custkey % 25 AS request_id, o_orderkey AS reply_id,
   CONCAT('Here is the table', CHR(10), '| Symbol | Company Name | Rationale |', CHR(10), '|--------|------|------|', CHR(10),
-   '| ', CHR(CAST(65 + o_orderkey % 11 AS INT)), CHR(CAST(75 + o_orderkey % 11 AS INT)), ' | Co A | . low beta |', CHR(10), '|  |  | . cash |', CHR(10),
+   '| ', CHR(CAST(65 + o_orderkey % 11 AS INT)), CHR(CAST(75 + o_orderkey % 11 AS INT)), CASE WHEN o_orderkey % 13 = 5 THEN ' | Co A |' WHEN o_orderkey % 13 = 7 THEN ' | Co' || CHR(160) || 'A' || CHR(160) || '| ' || CHR(160) || ' |'
+    ELSE ' | Co A | . low beta |' END, CHR(10), '|  |  | . cash |', CHR(10),
    '| ', CHR(CAST(65 + o_custkey % 7 AS INT)), 'Q | Co B | . growth |', CHR(10), ' | ZZ | indented | . no |') AS text
 FROM orders)""",
     "v_forecast_replies": """v_forecast_replies AS (
@@ -70,9 +80,14 @@ SELECT s_suppkey AS ticker, CASE WHEN s_suppkey % 12 = 0 THEN 'no forecast given
   CONCAT('EBIT Growth Rate: ', CASE WHEN s_suppkey % 5 = 0 THEN '-' ELSE '' END, CAST(1 + s_suppkey % 9 AS VARCHAR(4)), '.5%', CHR(10), 'Forecast: [',
    CAST(100 + s_suppkey AS VARCHAR(9)), ', ', CAST(110 + s_suppkey AS VARCHAR(9)), '.25, ', CAST(121 + s_suppkey AS VARCHAR(9)), ',',
    CAST(133 + s_suppkey AS VARCHAR(9)), ', ', CAST(146 + s_suppkey AS VARCHAR(9)), ']') END AS text
+FROM supplier)""",
+    "v_number_replies": """v_number_replies AS (
+SELECT s_suppkey AS ticker, CASE s_suppkey % 8 WHEN 0 THEN s_suppkey || '.5' WHEN 1 THEN '.' || s_suppkey WHEN 2 THEN '-' || s_suppkey || 'e-2'
+  WHEN 3 THEN ' ' || CHR(10) || s_suppkey || ' ' || CHR(160) WHEN 4 THEN '+' || s_suppkey || '.'
+  WHEN 5 THEN 'WACC for 2024: ' || s_suppkey || '%' WHEN 6 THEN s_suppkey || ',234.5' ELSE '' END AS text
 FROM supplier)""",
     "v_chunks": """v_chunks AS (
-SELECT conv_id AS request_id, turn AS seq, role AS response FROM conversations)""",
+SELECT conv_id AS request_id, turn AS seq, text AS response FROM conversations)""",
 }
 
 _DEPS = {
@@ -81,6 +96,7 @@ _DEPS = {
     "v_cashflow": ["v_base"],
     "v_statements": ["v_income", "v_balance", "v_cashflow"],
     "v_scores": ["v_info"],
+    "v_company": ["v_info"],
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from equiflow.operators import clean as C
 from equiflow.operators.fundamentals import suffix_join
 from equiflow.plans.fixture_sql import with_fixtures
+from equiflow.session import scratch_folder
 from equiflow.sources import fixtures as fx
 from equiflow.sources import sinks as K
 from equiflow.sources.tables import table
@@ -61,19 +62,24 @@ def q_positional_slice(spark, sf):
 
 
 def q_sink_roundtrip(spark, sf):
-    """The DCF summary and yearly table written as a bundle and read back."""
+    """The DCF summary and yearly table written as a bundle; both read back, as (table, ticker, field, value) rows."""
     from equiflow.plans.valuation_plans import q_dcf_summary, q_dcf_yearly
     paths = K.write_bundle({"summary": q_dcf_summary(spark, sf), "yearly": q_dcf_yearly(spark, sf)},
-                           K.scratch_path(spark, "bundle"))
-    return spark.read.parquet(paths["summary"])
+                           scratch_folder(spark, "bundle"))
+    summary = spark.read.parquet(paths["summary"]).select(
+        F.lit("summary").alias("table"), "ticker", F.col("metric").alias("field"), "value")
+    yearly = spark.read.parquet(paths["yearly"])
+    fields = ["year", "ebit", "fcf", "discounted_fcf"]
+    yearly = yearly.select("ticker", "step", *[F.col(c).cast("double") for c in fields]).unpivot(["ticker", "step"], fields, "field", "value")
+    return summary.union(yearly.select(F.lit("yearly"), "ticker", F.concat_ws("_", "field", "step"), "value"))
 
 
 def q_csv_roundtrip(spark, sf):
     """K02 + S06: yearly DCF written as one CSV folder per ticker, read back with a declared schema."""
     from equiflow.plans.valuation_plans import q_dcf_yearly
     y = q_dcf_yearly(spark, sf).select("ticker", "step", "year", "fcf", "discounted_fcf")
-    path = K.write_per_ticker(y, K.scratch_path(spark, "per-ticker"))
-    back = K.read_csv(spark, path, "step INT, year INT, fcf DOUBLE, discounted_fcf DOUBLE, ticker BIGINT")
+    path = K.write_per_ticker(y, scratch_folder(spark, "per-ticker"))
+    back, _ = K.read_csv(spark, path, "step INT, year INT, fcf DOUBLE, discounted_fcf DOUBLE, ticker BIGINT")
     return back.select("ticker", "step", "year", "fcf", "discounted_fcf")
 
 
@@ -81,7 +87,7 @@ def q_text_json_sink(spark, sf):
     """K03 + K04: request texts as JSON reply records, written as text and read back."""
     from equiflow.plans.text_plans import q_render_requests
     js = K.reply_json(q_render_requests(spark, sf).withColumnRenamed("request", "reply"))
-    path = K.write_text(js, K.scratch_path(spark, "text"), "json")
+    path = K.write_text(js, scratch_folder(spark, "text"), "json")
     return spark.read.schema("reply STRING").json(path)
 
 
@@ -90,12 +96,26 @@ def q_chunk_assembly(spark, sf):
 
 
 def q_event_sessions(spark, sf):
-    """Events as a stream, sessions of 30 minutes per user, complete mode under availableNow."""
-    src = sf.rstrip("/")
-    schema = table(spark, sf, "events").schema
-    name = "event_sessions_" + K.scratch_path(spark, "s").rsplit("-", 1)[-1]
-    return G.run_session_stream(spark, src, schema, name, K.scratch_path(spark, "stream-ckpt"),
-                                key="user_id", ts="ts", seq="event_id", text="event_type", glob="events.parquet")
+    """G01 over the whole table: sessions of 30 minutes per user, the function that the stream runs (tests hold both together)."""
+    return G.session_chunks(table(spark, sf, "events"), key="user_id", ts="ts", seq="event_id", text="event_type")
+
+
+def _chunk_lines(spark, sf) -> DataFrame:
+    """Reply chunks as JSON lines; every tenth conversation's second line is cut off."""
+    c = fx.chunks(spark, sf)
+    line = F.to_json(F.struct(F.col("response")))
+    cut = (F.col("request_id") % 10 == 3) & (F.col("seq") == 1)
+    return c.select("request_id", "seq", F.when(cut, F.lit('{"response": "cut')).otherwise(line).alias("line"))
+
+
+def q_chunk_decode(spark, sf):
+    """JSON lines decoded, then assembled."""
+    good, _ = G.decode_chunks(_chunk_lines(spark, sf), "response STRING")
+    return G.assemble_chunks(good)
+
+
+def q_chunk_rejects(spark, sf):
+    return G.decode_chunks(_chunk_lines(spark, sf), "response STRING")[1]
 
 
 QUERIES = {
@@ -112,6 +132,8 @@ QUERIES = {
     "text_json_sink": q_text_json_sink,
     "chunk_assembly": q_chunk_assembly,
     "event_sessions": q_event_sessions,
+    "chunk_decode": q_chunk_decode,
+    "chunk_rejects": q_chunk_rejects,
 }
 
 # ---------------------------------------------------------------- oracle ----
@@ -148,7 +170,15 @@ SELECT ticker, dt, NULLIF(total_revenue, 0) AS total_revenue, NULLIF(ebit, 0) AS
 FROM v_income FULL JOIN v_balance USING (ticker, dt) FULL JOIN v_cashflow USING (ticker, dt)"""),
         "positional_slice": with_fixtures(["v_info"], body="""
 SELECT ticker, name FROM (SELECT ticker, name, ROW_NUMBER() OVER (ORDER BY ticker) AS rn FROM v_info) x WHERE rn >= 2"""),
-        "sink_roundtrip": VO["dcf_summary"],
+        "sink_roundtrip": f"""
+SELECT 'summary' AS "table", ticker, metric AS field, value FROM ({VO["dcf_summary"]}) s
+""" + "".join(f"""UNION ALL SELECT 'yearly', ticker, '{c}_' || step, CAST({c} AS DOUBLE) FROM ({VO["dcf_yearly"]}) y
+""" for c in ("year", "ebit", "fcf", "discounted_fcf")),
+        "chunk_decode": with_fixtures(["v_chunks"], body="""
+SELECT request_id, COUNT(*) AS n_chunks, string_agg(response, '' ORDER BY seq) AS text
+FROM v_chunks WHERE NOT (request_id % 10 = 3 AND seq = 1) GROUP BY request_id"""),
+        "chunk_rejects": with_fixtures(["v_chunks"], body="""
+SELECT request_id, seq, '{"response": "cut' AS line FROM v_chunks WHERE request_id % 10 = 3 AND seq = 1"""),
         "csv_roundtrip": VO["dcf_yearly"].rsplit("\nSELECT", 1)[0] + """
 SELECT ticker, step, year, ROUND(fcf, 2) AS fcf, ROUND(discounted_fcf, 2) AS discounted_fcf FROM yr""",
         "text_json_sink": "SELECT request AS reply FROM (" + req + ") r",

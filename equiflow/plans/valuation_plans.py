@@ -10,7 +10,6 @@ from equiflow.operators import periods as P
 from equiflow.operators import valuation as V
 from equiflow.operators.fundamentals import fundamentals
 from equiflow.plans.fixture_sql import with_fixtures
-from equiflow.session import materialize
 from equiflow.sources import fixtures as fx
 
 
@@ -22,12 +21,11 @@ def _r(c, d: int, alias: str | None = None):
 def fund(spark: SparkSession, sf: str) -> DataFrame:
     """Merged statements + ratios, one row per (ticker, year).
 
-    It is small (tickers x periods) but derived from a full lineitem pass and
-    feeds up to five branches, so it is checkpointed once instead of being
-    recomputed per branch.
+    Lazy: the three statements come from one shared base, so however many branches
+    use the frame the line items are scanned and dealt once.
     """
     b = fx.base(spark, sf)
-    return materialize(fundamentals(fx.income(spark, sf, b), fx.balance(spark, sf, b), fx.cashflow(spark, sf, b)))
+    return fundamentals(fx.income(spark, sf, b), fx.balance(spark, sf, b), fx.cashflow(spark, sf, b))
 
 
 def q_latest_period(spark, sf):

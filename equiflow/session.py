@@ -1,21 +1,19 @@
-"""Session helpers for tests, benches and local runs.
+"""Session for tests, benches and local runs.
 
-Operators never set session configuration; only the callers here do.  On a
-cluster the session comes from the platform and ``spark.checkpoint.dir`` names
-a shared folder; ``checkpoint_dir`` reads it and only falls back to a scratch
-folder when it is unset (local runs and tests).
+On a cluster the session comes from the platform.  Operators never set session
+configuration and never touch the checkpoint folder; queries that write and read
+back (sinks, streams) ask ``scratch_folder`` for a place below shared storage.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(cpus: str | int = "*", shuffle_partitions: int | None = None,
-                  app: str = "equiflow") -> SparkSession:
+                  app: str = "equiflow", config: dict[str, str] | None = None) -> SparkSession:
     parts = shuffle_partitions or (8 if cpus == "*" else max(int(cpus), 1))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -29,25 +27,17 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int | None = None,
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map=config or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the session; set a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="equiflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below ``spark.checkpoint.dir``, or where that is unset below the warehouse.
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a small derived table that feeds several branches (reliable checkpoint
-    into the shared checkpoint folder; never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Both are settings of the session that are only read here.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/equiflow-{name}-{uuid.uuid4().hex}"

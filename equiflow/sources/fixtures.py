@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiflow.sources.tables import table
+from equiflow.sources.tables import shared, table
 
 
 def _dec(c: str, p: int = 14, s: int = 2) -> Column:
@@ -37,9 +37,12 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v_base: one row per (ticker, fiscal year) with revenue, tax, quantity, line count."""
+    """v_base: one row per (ticker, fiscal year) with revenue, tax, quantity, line count.
+
+    Shared: the statements built from it use one scan and one exchange of the line items.
+    """
     li = table(spark, sf_dir, "lineitem")
-    return (
+    return shared(
         li.groupBy(F.col("l_suppkey").alias("ticker"), F.year("l_shipdate").alias("fy"))
         .agg(
             F.sum(_dec("l_extendedprice") * (F.lit(1) - _dec("l_discount", 4, 2))).cast("double").alias("rev"),
@@ -146,6 +149,27 @@ def info(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_company (S01): a company's profile fields as text, 'N/A' where the source has none."""
+    i = info(spark, sf_dir)
+    k = F.col("ticker")
+    text = lambda c, form: F.coalesce(F.format_string(form, c), F.lit("N/A"))
+    pe = F.when((k % 4 != 0) & (F.col("market_cap") > 0), F.col("market_cap") / 100000.0)
+    dividend = F.when(k % 3 == 0, (k % 5).cast("double") / 100.0)
+    margin = F.when(k % 5 != 1, (k % 30).cast("double") / 100.0)
+    number = lambda c: F.when(c.isNull(), F.lit("N/A")).otherwise(text(c, "%.2f"))
+    return i.select("ticker", "name", "sector", "industry", number(F.col("market_cap")).alias("market_cap"), number(pe).alias("trailing_pe"),
+                    number(dividend).alias("dividend_yield"), number(margin).alias("profit_margin"), number(F.col("beta")).alias("beta"))
+
+
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_universe: symbol -> company name, one row per symbol; some symbols that replies name are not listed."""
+    k = F.col("s_suppkey")
+    even = F.concat(F.char((F.lit(65) + k % 11).cast("int")), F.char((F.lit(75) + k % 11).cast("int")))
+    odd = F.concat(F.char((F.lit(65) + k % 5).cast("int")), F.lit("Q"))
+    return table(spark, sf_dir, "supplier").groupBy(F.when(k % 2 == 0, even).otherwise(odd).alias("symbol")).agg(F.min("s_name").alias("name"))
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_scores: factor table (0..5 per factor)."""
     t = F.col("ticker")
@@ -166,7 +190,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Here is the table"), nl, F.lit("| Symbol | Company Name | Rationale |"), nl,
         F.lit("|--------|------|------|"), nl,
         F.lit("| "), F.char((F.lit(65) + ok % 11).cast("int")), F.char((F.lit(75) + ok % 11).cast("int")),
-        F.lit(" | Co A | . low beta |"), nl, F.lit("|  |  | . cash |"), nl,
+        # a first body row with a cell missing, or one that only a no-break space fills
+        F.when(ok % 13 == 5, " | Co A |").when(ok % 13 == 7, " | Co\u00a0A\u00a0| \u00a0 |").otherwise(" | Co A | . low beta |"),
+        nl, F.lit("|  |  | . cash |"), nl,
         F.lit("| "), F.char((F.lit(65) + ck % 7).cast("int")), F.lit("Q | Co B | . growth |"), nl,
         F.lit(" | ZZ | indented | . no |"),
     )
@@ -190,8 +216,18 @@ def forecast_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(k % 12 == 0, F.lit("no forecast given")).otherwise(text).alias("text"))
 
 
+def number_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_number_replies: replies that should be one number; some are, in several notations, some are not."""
+    s = table(spark, sf_dir, "supplier")
+    k, n = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    forms = [F.concat(n, F.lit(".5")), F.concat(F.lit("."), n), F.concat(F.lit("-"), n, F.lit("e-2")), F.concat(F.lit(" \n"), n, F.lit(" \u00a0")), F.concat(F.lit("+"), n, F.lit(".")),
+             F.concat(F.lit("WACC for 2024: "), n, F.lit("%")), F.concat(n, F.lit(",234.5")), F.lit("")]
+    text = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+    return s.select(k.alias("ticker"), text.alias("text"))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_chunks: ordered reply chunks."""
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"),
-                    F.col("role").alias("response"))
+                    F.col("text").alias("response"))

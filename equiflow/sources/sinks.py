@@ -1,22 +1,14 @@
 """Sinks (K01-K04) and the CSV/JSON readers that read them back.
 
-Output folders live under the session's shared ``spark.checkpoint.dir``
-(``session.checkpoint_dir``), never in a machine-local temp folder.
+Every sink takes its output path from the caller; the registered queries use
+``session.scratch_folder``, which is shared storage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from equiflow.session import checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/out-{name}-{uuid.uuid4().hex[:12]}"
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str, fmt: str = "parquet") -> dict[str, str]:
@@ -46,6 +38,15 @@ def reply_json(df: DataFrame, col: str = "reply") -> DataFrame:
     return df.select(F.to_json(F.struct(F.col(col).alias("reply"))).alias("json"))
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> DataFrame:
-    """CSV with a declared schema (no inference pass); bad rows become NULLs."""
-    return spark.read.option("header", header).option("mode", "PERMISSIVE").schema(schema).csv(path)
+CORRUPT = "_corrupt"
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of CSV files with a declared schema (no inference pass).
+
+    A record that does not fit the schema is in ``rejects`` only, as its text in ``_corrupt``.
+    """
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    declared = StructType([*fields.fields, StructField(CORRUPT, StringType())])
+    both = spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(declared).csv(path)
+    return both.where(F.col(CORRUPT).isNull()).drop(CORRUPT), both.where(F.col(CORRUPT).isNotNull())

@@ -34,15 +34,25 @@ def session_chunks(stream: DataFrame, key: str, ts: str, seq: str, text: str, ga
                       F.array_join(F.transform("_c", lambda x: x["x"]), sep).alias("text"))
 
 
-def run_session_stream(spark: SparkSession, src_dir: str, schema: StructType | str, name: str, checkpoint: str,
-                       key: str, ts: str, seq: str, text: str, mode: str = "complete", glob: str | None = None,
-                       **kw) -> DataFrame:
-    """Run G01 over parquet files in ``src_dir`` with ``availableNow`` into a memory table and return it."""
+def decode_chunks(lines: DataFrame, schema: str, col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """``(chunks, rejects)`` of JSON lines; a malformed line is in ``rejects`` only."""
+    parsed = lines.withColumn("_j", F.from_json(col, f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_j").isNull() | F.col("_j._corrupt").isNotNull()
+    return parsed.where(~bad).drop(col).select("*", "_j.*").drop("_j", "_corrupt"), parsed.where(bad).drop("_j")
+
+
+def run_session_stream(spark: SparkSession, src_dir: str, schema: StructType | str, out_dir: str, checkpoint: str,
+                       key: str, ts: str, seq: str, text: str, glob: str | None = None, **kw) -> DataFrame:
+    """G01 over parquet files in ``src_dir`` with ``availableNow``, appended as parquet to ``out_dir``; returns what lies there.
+
+    Append mode: a session is written once the watermark has passed its end, then its
+    state goes.  Sessions still open at the end of the input stay in the checkpoint for the next run.
+    """
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(src_dir)
-    q = (session_chunks(stream, key, ts, seq, text, **kw).writeStream.outputMode(mode).format("memory")
-         .queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    out = session_chunks(reader.parquet(src_dir), key, ts, seq, text, **kw)
+    q = (out.writeStream.outputMode("append").format("parquet").option("path", out_dir)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(out_dir)
