@@ -10,7 +10,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 # The three statement kinds.
 STATEMENTS = ("income", "balance", "cash")
@@ -79,11 +78,16 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
 
 
 def standardize_date(df: DataFrame, out: str = "dt") -> DataFrame:
-    """Find the date-like column and rename it; error when there is none."""
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType)):
-            return df.withColumn(out, F.to_date(F.col(f.name))).drop(f.name) if f.name != out else df
-    raise ValueError("no date-like column")
+    """Rename the first column with 'date' in its name (any case) to ``out``, as a date; values that are none become NULL.
+
+    Error when no column has such a name.
+    """
+    found = [c for c in df.columns if "date" in c.lower()]
+    if not found:
+        raise ValueError(f"no date column among {df.columns}")
+    c = F.col(found[0])
+    value = F.try_to_date(c) if df.schema[found[0]].dataType.typeName() == "string" else c.cast("date")
+    return df.select(*[value.alias(out) if x == found[0] else F.col(x) for x in df.columns if x == found[0] or x != out])
 
 
 def positional_slice(df: DataFrame, order: str, min_row: int, max_col: int) -> DataFrame:

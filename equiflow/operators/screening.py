@@ -15,12 +15,14 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiflow.operators.series import series_index
+from equiflow.operators.series import order_bucket, series_index
+from equiflow.sources.tables import shared
 
 # Line breaks of Python ``str.splitlines`` and the pipe-row ticker pattern.
 LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
 TICKER_ROW = r"(?U)^\|\s*([A-Z]{1,5})\s*\|"
 UNKNOWN_COMPANY = "Unknown Company"
+LINES_AT_MOST = 1 << 32  # an array index fits
 
 
 def lines(text: Column) -> Column:
@@ -37,11 +39,15 @@ def extract_tickers(replies: DataFrame, text: str = "text",
 
 
 def count_votes(tickers: DataFrame, group: str = "request_id") -> DataFrame:
-    """Votes per (request, symbol) and the first position seen (reply order, line)."""
-    return tickers.groupBy(group, "symbol").agg(
-        F.count(F.lit(1)).alias("votes"),
-        F.min(F.struct("reply_id", "line_no")).alias("first_seen"),
-    )
+    """Votes per (request, symbol) and the first position seen (reply order, line).
+
+    The position is one number, so hash aggregates hold it and no task sorts its symbols.
+    """
+    width = F.lit(LINES_AT_MOST).cast("decimal(11,0)")
+    place = F.col("reply_id").cast("decimal(20,0)") * width + F.col("line_no")
+    votes = tickers.groupBy(group, "symbol").agg(F.count(F.lit(1)).alias("votes"), F.min(place).alias("first_seen"))
+    line = F.pmod("first_seen", width)
+    return votes.withColumns({"first_line_no": line.cast("int"), "first_reply_id": ((F.col("first_seen") - line) / width).cast("long")})
 
 
 def top_voted(votes: DataFrame, k: int = 3, group: str = "request_id") -> DataFrame:
@@ -66,8 +72,8 @@ def name_lookup(symbols: DataFrame, universe: DataFrame, symbol: str = "symbol",
 
 
 def keep_members(universe: DataFrame, winners: DataFrame, on: str = "symbol") -> DataFrame:
-    """Universe rows whose symbol won (semi join; winners carry the rank)."""
-    return universe.join(winners, on, "left_semi")
+    """The universe rows of each request's winners, with request and rank; a winner outside the universe has none."""
+    return winners.join(universe, on)
 
 
 def consistent_top3(replies: DataFrame, universe: DataFrame, k: int = 3) -> DataFrame:
@@ -82,18 +88,36 @@ def screen_sector(df: DataFrame, sector: str, cols: list[str], sector_col: str =
 
 
 def total_score(df: DataFrame, factors: list[str], weights: list[float] | None = None) -> Column:
-    """Sum of factor scores, each clamped to 0..5."""
+    """Sum of factor scores, each clamped to 0..5; NULL when a factor is missing."""
     weights = weights or [1] * len(factors)
-    parts = [F.least(F.greatest(F.col(f), F.lit(0)), F.lit(5)) * F.lit(w) for f, w in zip(factors, weights)]
+    parts = [F.when(F.col(f).isNotNull(), F.least(F.greatest(F.col(f), F.lit(0)), F.lit(5))) * F.lit(w) for f, w in zip(factors, weights)]
     return reduce(add, parts)
 
 
+def percent_ranks(df: DataFrame, col: str, group: str, ascending: bool = True, out: str = "percent_rank") -> DataFrame:
+    """``percent_rank`` of the non-NULL values of ``col`` in each group, without one task per group.
+
+    Equal values are counted together (in the map tasks first) and ranked inside value
+    buckets; only the buckets' totals, a bounded table, meet per group.
+    """
+    df = shared(df.withColumn("_bucket", order_bucket(df, col)))
+    counts = df.where(F.col(col).isNotNull()).groupBy(group, "_bucket", col).agg(F.count(F.lit(1)).alias("_n"))
+    direction = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
+    inside = Window.partitionBy(group, "_bucket").orderBy(direction(col)).rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(group, "_bucket").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(group).orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(group, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(group)).alias("_all"))
+    ranks = counts.withColumn("_less", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, [group, "_bucket"])
+    share = F.when(F.col("_all") > 1, (F.col("_before") + F.col("_less")) / (F.col("_all") - 1)).otherwise(F.lit(0.0))
+    ranks = ranks.select(F.col(group).alias("_g"), F.col(col).alias("_v"), share.alias(out))
+    return df.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & (F.col(col) == F.col("_v")), "left").drop("_g", "_v", "_bucket")
+
+
 def factor_score(df: DataFrame, col: str, group: str = "sector", higher_is_better: bool = True,
                  out: str | None = None) -> DataFrame:
-    """0-5 score of a raw measure within its group by percent rank."""
-    o = F.col(col).asc() if higher_is_better else F.col(col).desc()
-    pr = F.percent_rank().over(Window.partitionBy(group).orderBy(o))
-    return df.withColumn(out or f"{col}_score", F.when(F.col(col).isNotNull(), F.round(pr * 5, 0).cast("int")))
+    """0-5 score of a raw measure within its group by percent rank; NULL measures have none."""
+    ranked = percent_ranks(df, col, group, higher_is_better, "_pr")
+    return ranked.withColumn(out or f"{col}_score", F.round(F.col("_pr") * 5, 0).cast("int")).drop("_pr")
 
 
 def top_scored(df: DataFrame, k: int = 3, score: str = "total_score", tie: str = "ticker",
@@ -120,16 +144,14 @@ def sample_n(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), F.col(key)).limit(n)
 
 
-def with_row_id(df: DataFrame, order: str, bucket_width: int = 4096, out: str = "row_id") -> DataFrame:
-    """Dense 0-based row number over the whole frame without a single-task window.
+def with_row_id(df: DataFrame, order: str, out: str = "row_id") -> DataFrame:
+    """Dense 0-based row number over the whole frame, NULLs first; ``order`` may be a number, date, time or text.
 
-    Rows are counted per range bucket of ``order`` (partial aggregate), the
-    bucket offsets come from a window over that small table, and rows are
-    numbered inside their bucket (``series.series_index`` with one series).
+    Rows are counted per order-keeping bucket of ``order`` (partial aggregate) and numbered
+    inside their bucket; only the bucket totals, a bounded table, meet in one place.
     """
     keyed = df.withColumn("_one", F.lit(1))
-    out_df = series_index(keyed, "_one", order, F.floor(F.col(order) / bucket_width), out)
-    return out_df.drop("_one")
+    return series_index(keyed, "_one", order, order_bucket(df, order), out).drop("_one")
 
 
 def rank_columns_by_total(df: DataFrame, cols: list[str]) -> DataFrame:

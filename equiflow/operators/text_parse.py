@@ -7,13 +7,15 @@ the job: they become NULL values and a rejects output (Q27).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Reply patterns of the reference.
 FORECAST = r"Forecast:\s*\[(.*?)\]"
-NUMBER = r"[-+]?\d+(\.\d+)?"
-WHITESPACE = " \t\n\r\u000b\u000c"  # Java's ASCII \s set
+NUMBER = r"[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
+# The characters that a trim of text removes (all Unicode white space, and the byte order mark).
+WHITESPACE = (" \t\n\r\u000b\u000c\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+              "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 
 def _growth_pattern(label: str, strict: bool) -> str:
@@ -21,7 +23,7 @@ def _growth_pattern(label: str, strict: bool) -> str:
 
 
 def trim_ws(c: Column) -> Column:
-    """Whitespace trim like Python ``str.strip`` / JS ``trim`` (Spark ``trim`` only strips spaces)."""
+    """Trim of all white space, no-break spaces included (Spark ``trim`` only strips spaces)."""
     return F.btrim(c, F.lit(WHITESPACE))
 
 
@@ -58,8 +60,14 @@ def parse_growth(text: Column, label: str, strict: bool = False) -> Column:
 
 
 def parse_number(text: Column) -> Column:
-    """First number in a reply."""
-    return nonempty(F.regexp_extract(text, NUMBER, 0)).try_cast("double")
+    """A reply that is one number (white space around it aside) as a double; anything else is NULL, see ``number_rejects``."""
+    bare = trim_ws(text)
+    return F.when(bare.rlike(f"^(?:{NUMBER})$"), bare.try_cast("double"))
+
+
+def number_rejects(df: DataFrame, text: str = "text") -> DataFrame:
+    """Replies that are no bare number."""
+    return df.where(parse_number(F.col(text)).isNull())
 
 
 def table_lines(text: Column) -> Column:
@@ -71,40 +79,52 @@ def cells(line: Column) -> Column:
     return F.filter(F.transform(F.split(line, r"\|"), trim_ws), lambda c: c != "")
 
 
-def parse_pipe_table(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Pipe table -> (key..., row_no, col_no, header, cell).
+def table_parts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per reply with a table: its header cells ``header`` and body rows ``body`` (arrays of cells).
 
-    First pipe line is the header, the second is skipped, cells are trimmed and
-    empty ones dropped; a row is kept only with as many cells as headers;
-    fewer than three pipe lines -> no table.
+    First pipe line is the header, the second is skipped, cells are trimmed and empty
+    ones dropped; a body row stays only with as many cells as headers, the header stays
+    without any; fewer than three pipe lines are no table.
     """
-    tl = table_lines(F.col(text))
-    t = df.select(*keys, tl.alias("_tl")).where(F.size("_tl") >= 3)
-    t = t.select(*keys, cells(F.element_at("_tl", 1)).alias("_h"),
-                 F.posexplode(F.slice("_tl", 3, 1 << 20)).alias("_r", "_line"))
-    t = t.select(*keys, (F.col("_r") + 2).alias("row_no"), "_h", cells(F.col("_line")).alias("_c"))
-    t = t.where(F.size("_c") == F.size("_h"))
-    return t.select(*keys, "row_no", F.posexplode(F.arrays_zip(F.col("_h").alias("header"), F.col("_c").alias("cell")))
+    t = df.select(*keys, table_lines(F.col(text)).alias("_tl")).where(F.size("_tl") >= 3)
+    t = t.select(*keys, F.transform("_tl", cells).alias("_cells"))
+    head = F.element_at("_cells", 1)
+    kept = F.filter(F.transform(F.slice("_cells", 3, F.size("_cells") - 2), lambda c, i: F.struct((i + 2).alias("row_no"), c.alias("cells"))),
+                    lambda r: F.size(r["cells"]) == F.size(head))
+    return t.select(*keys, head.alias("header"), kept.alias("body"))
+
+
+def parse_pipe_table(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Pipe table -> (key..., row_no, col_no, header, cell)."""
+    t = table_parts(df, keys, text).select(*keys, "header", F.explode("body").alias("r"))
+    return t.select(*keys, F.col("r.row_no").alias("row_no"), F.posexplode(F.arrays_zip(F.col("header"), F.col("r.cells").alias("cell")))
                     .alias("col_no", "hc")).select(*keys, "row_no", "col_no", "hc.header", "hc.cell")
 
 
-def extract_csv(df: DataFrame, keys: list[str], header_start: str, columns: list[str], text: str = "text") -> DataFrame:
-    """CSV block inside a reply: from the header line on, fence lines skipped,
-    stopping at the first line that is not a CSV row of the right width (Q29)."""
+def csv_lines(df: DataFrame, keys: list[str], header_start: str, schema: str, text: str = "text") -> DataFrame:
+    """The lines after the CSV header of a reply, up to the closing fence or a blank line (Q29):
+    ``keys, row_no, line, fields`` with ``fields`` parsed by ``schema`` and ``_corrupt`` in it for a line that does not fit.
+    """
     lines = F.split(F.col(text), r"\r?\n")
-    t = df.select(*keys, F.posexplode(lines).alias("ln", "line"))
-    t = t.withColumn("_hdr", F.min(F.when(F.instr("line", header_start) > 0, F.col("ln")))
-                     .over(Window.partitionBy(*keys)))
-    body = t.where((F.col("ln") > F.col("_hdr")) & ~F.col("line").startswith("```"))
-    n = len(columns)
-    parts = F.split(F.col("line"), ",")
-    body = body.withColumn("_ok", (F.size(parts) == n))
-    # stop at the first non-CSV line after the header
-    w = Window.partitionBy(*keys).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("_bad_seen", F.max(F.when(~F.col("_ok"), 1).otherwise(0)).over(w))
-    good = body.where(F.col("_bad_seen") == 0)
-    return good.select(*keys, (F.col("ln") - F.col("_hdr")).alias("row_no"),
-                       *[trim_ws(F.element_at(parts, i + 1)).alias(c) for i, c in enumerate(columns)])
+    t = df.select(*keys, lines.alias("_l"))
+    first = F.array_position(F.transform("_l", lambda x: F.instr(x, header_start) > 0), True).cast("int")
+    t = t.where(first > 0).select(*keys, F.slice("_l", first + 1, F.size("_l")).alias("_l"))
+    stop = F.array_position(F.transform("_l", lambda x: x.startswith("```") | (trim_ws(x) == "")), True).cast("int")
+    t = t.select(*keys, F.when(stop > 0, F.slice("_l", 1, stop - 1)).otherwise(F.col("_l")).alias("_l"))
+    t = t.select(*keys, F.posexplode("_l").alias("_p", "line"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    return t.select(*keys, (F.col("_p") + 1).alias("row_no"), "line", F.from_csv("line", f"{schema}, _corrupt STRING", opts).alias("fields"))
+
+
+def extract_csv(df: DataFrame, keys: list[str], header_start: str, schema: str, text: str = "text") -> DataFrame:
+    """The CSV rows of a reply that fit ``schema`` (quoted cells may hold commas)."""
+    rows = csv_lines(df, keys, header_start, schema, text).where(F.col("fields._corrupt").isNull())
+    return rows.select(*keys, "row_no", "fields.*").drop("_corrupt")
+
+
+def csv_rejects(df: DataFrame, keys: list[str], header_start: str, schema: str, text: str = "text") -> DataFrame:
+    """Q27: lines of the block that do not fit ``schema``; the rows after them are still read."""
+    return csv_lines(df, keys, header_start, schema, text).where(F.col("fields._corrupt").isNotNull()).select(*keys, "row_no", "line")
 
 
 def with_default(body: Column, path: str, default: str) -> Column:

@@ -35,19 +35,17 @@ def fmt_or(c: Column, formatted: Column, default: str = NOT_PROVIDED) -> Column:
 
 # ---- X13: labelled breakdown ----
 
-RATE_LIKE = r"Rate|Premium|Cost_of|Tax_Rate"
+RATE, MONEY, RATIO = "rate", "money", "ratio"
 
 
-def render_breakdown(df: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
-    """One ``label: value`` row per breakdown field; rate-like names as %, others as money."""
-    pairs = [F.struct(F.lit(name).alias("field"), F.col(src).cast("double").alias("value"))
-             for name, src in fields.items()]
-    long = df.select(key, F.posexplode(F.array(*pairs)).alias("pos", "kv")).select(key, "pos", "kv.*")
-    label = F.regexp_replace("field", "_", " ")
-    rate = F.col("field").rlike(RATE_LIKE)
-    val = F.when(F.col("value").isNull(), F.lit("N/A")).when(
-        rate, F.format_string("%.2f%%", F.col("value") * 100)).otherwise(fmt_money(F.col("value")))
-    return long.select(key, "pos", F.concat(label, F.lit(": "), val).alias("line"))
+def render_breakdown(df: DataFrame, key: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """One ``label: value`` row per breakdown field; ``fields``: label -> (column, kind of number)."""
+    formats = {RATE: lambda c: fmt_pct(c, 2), MONEY: fmt_money, RATIO: lambda c: F.format_string("%.2f", c)}
+    lines = []
+    for label, (source, kind) in fields.items():
+        c = F.col(source).cast("double")
+        lines.append(F.concat(F.lit(f"{label}: "), fmt_or(c, formats[kind](c), "N/A")))
+    return df.select(key, F.posexplode(F.array(*lines)).alias("pos", "line"))
 
 
 # ---- A08 / X09-X11: tables to text, per group ----
@@ -94,42 +92,68 @@ def render_table(df: DataFrame, group: list[str], order: str, cols: list[str]) -
 
 
 def render_csv(df: DataFrame, group: list[str], order: str, cols: list[str], header: list[str] | None = None) -> DataFrame:
-    """CSV text per group (``to_csv(index=False)``)."""
-    header = header or cols
-    body = df.select(*group, (F.col(order).cast("long") + 1).alias("_o"),
-                     F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("line"))
+    """CSV text per group; cells with commas, quotes or line breaks are quoted, quotes doubled."""
+    body = df.select(*group, (F.col(order).cast("long") + 1).alias("_o"), F.concat_ws(",", *[csv_cell(F.col(c)) for c in cols]).alias("line"))
     head = df.select(*group).distinct().select(*group, F.lit(0).cast("long").alias("_o"),
-                                               F.lit(",".join(header)).alias("line"))
+                                               F.concat_ws(",", *[csv_cell(F.lit(c)) for c in header or cols]).alias("line"))
     return _join_lines(head.unionByName(body), group, "_o", "line")
 
 
-def to_html_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Parsed pipe-table cells -> HTML table text per reply."""
-    th = (cells.where(F.col("row_no") == F.lit(2))
-          .select(*keys, "col_no", F.concat(F.lit("<th>"), "header", F.lit("</th>")).alias("l")))
-    head = _join_lines(th.withColumnRenamed("l", "line"), keys, "col_no", "line", "").withColumnRenamed("text", "_th")
-    td = cells.select(*keys, "row_no", "col_no", F.concat(F.lit("<td>"), "cell", F.lit("</td>")).alias("line"))
-    rows = _join_lines(td.withColumn("_o", F.col("col_no")), keys + ["row_no"], "_o", "line", "")
-    rows = rows.select(*keys, "row_no", F.concat(F.lit("<tr>"), "text", F.lit("</tr>")).alias("line"))
-    body = _join_lines(rows, keys, "row_no", "line", "").withColumnRenamed("text", "_tb")
-    return head.join(body, keys).select(*keys, F.concat(
-        F.lit("<table><caption>AI Analysis Result</caption><thead><tr>"), "_th",
-        F.lit("</tr></thead><tbody>"), "_tb", F.lit("</tbody></table>")).alias("html"))
+def csv_cell(c: Column) -> Column:
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[",\\r\\n]'), quoted).otherwise(text)
 
 
-def explode_bullets(df: DataFrame, keys: list[str], max_bullets: int = 3) -> DataFrame:
-    """(symbol, name, bullets) -> continuation rows, symbol and name only on the first."""
-    t = df.select(*keys, "symbol", "name", F.posexplode(F.slice("bullets", 1, max_bullets)).alias("pos", "bullet"))
+def html_text(c: Column) -> Column:
+    """Text safe inside an element."""
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def to_html_rows(tables: DataFrame, keys: list[str], caption: str | None = None) -> DataFrame:
+    """Tables (``text_parse.table_parts``) -> HTML table text per reply, header kept even without a body row.
+
+    Each reply is one row in and one row out: arrays are joined in place, nothing is dealt.
+    """
+    def row(items, tag):
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(items, lambda c: F.concat(F.lit(f"<{tag}>"), html_text(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+
+    title = F.lit("" if caption is None else f"<caption>{caption}</caption>")
+    body = F.array_join(F.transform("body", lambda r: row(r["cells"], "td")), "")
+    return tables.select(*keys, F.concat(F.lit("<table>"), title, F.lit("<thead>"), row(F.col("header"), "th"), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")).alias("html"))
+
+
+def explode_bullets(df: DataFrame, keys: list[str], max_bullets: int | None = None) -> DataFrame:
+    """(symbol, name, bullets) -> continuation rows, symbol and name only on the first; all bullets.
+
+    With ``max_bullets`` the first so many rows, each with the number left out in ``more``.
+    """
+    bullets = F.col("bullets") if max_bullets is None else F.slice("bullets", 1, max_bullets)
+    more = F.size("bullets") - F.size(bullets)
+    t = df.select(*keys, "symbol", "name", more.alias("more"), F.posexplode(bullets).alias("pos", "bullet"))
     first = F.col("pos") == 0
     return t.select(*keys, "pos", F.when(first, F.col("symbol")).otherwise(F.lit("")).alias("symbol_cell"),
-                    F.when(first, F.col("name")).otherwise(F.lit("")).alias("name_cell"), "bullet")
+                    F.when(first, F.col("name")).otherwise(F.lit("")).alias("name_cell"), "bullet", "more")
 
 
 # ---- A09: numeric profile ----
 
+QUANTILE_ACCURACY = 400_000
+
+
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count / mean / stddev / min / max per column; all map-side combinable."""
-    long = df.select(*[F.col(c).cast("double") for c in cols]).unpivot([], cols, "column", "value")
-    return long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    """count, mean, stddev, min, quartiles and max per column: one aggregate row (combined in the map tasks), then ``stack``.
+
+    Quartiles are elements of the column, exact up to half of ``QUANTILE_ACCURACY`` rows and beyond
+    that off by at most one rank in as many; the sketch's size does not grow with the rows.
+    """
+    aggs, parts = [], []
+    for n, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        names = [f"_{n}_{k}" for k in ("count", "mean", "stddev", "min", "q", "max")]
+        aggs += [x.alias(a) for x, a in zip((F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.percentile_approx(v, [0.25, 0.5, 0.75], QUANTILE_ACCURACY), F.max(v)), names)]
+        parts.append(F.struct(F.lit(c).alias("column"), *[F.col(a).alias(k) for a, k in zip(names, ("count", "mean", "stddev", "min", "q", "max"))]))
+    one = df.agg(*aggs).select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+    return one.select("column", "count", "mean", "stddev", "min", *[F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")

@@ -229,6 +229,19 @@ def valuation(yearly: DataFrame, params: DataFrame, ebitda_growth: DataFrame, ho
     return v.withColumn("implied_share_price", div("equity_value", "shares_outstanding"))
 
 
+def run_dcf(universe: DataFrame, gate: DataFrame, valued: DataFrame) -> DataFrame:
+    """Every ticker of the universe with its valuation or the reason why there is none (``status``).
+
+    ``gate``: tickers with all statements (S11); ``valued``: ``valuation`` rows (tickers that lack a driver have none).
+    """
+    v = valued.select(F.col("ticker").alias("_t"), "complete", "implied_share_price")
+    out = universe.join(gate.select("ticker", F.lit(True).alias("_ok")), "ticker", "left").join(v, F.col("ticker") == F.col("_t"), "left")
+    ok = F.coalesce("_ok", F.lit(False))
+    status = (F.when(~ok, "statement missing").when(F.col("_t").isNull() | ~F.col("complete"), "driver missing")
+              .when(F.col("implied_share_price").isNull(), "no price").otherwise("valued"))
+    return out.select("ticker", status.alias("status"), F.when(ok, F.col("implied_share_price")).alias("implied_share_price"))
+
+
 SUMMARY_METRICS = (
     ("WACC", "wacc"), ("Net Debt", "net_debt"), ("Terminal Value", "terminal_value"),
     ("Terminal Value (PV)", "terminal_value_pv"), ("Enterprise Value", "enterprise_value"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from equiflow.plans import fundamental_plans, io_plans, screening_plans, technical_plans, text_plans, valuation_plans
+from equiflow.plans import clean_plans, fundamental_plans, io_plans, screening_plans, technical_plans, text_plans, valuation_plans
 
-_MODULES = [fundamental_plans, technical_plans, valuation_plans, screening_plans, text_plans, io_plans]
+_MODULES = [fundamental_plans, technical_plans, valuation_plans, screening_plans, text_plans, io_plans, clean_plans]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,29 +10,17 @@ from equiflow.plans.fixture_sql import with_fixtures
 from equiflow.sources import fixtures as fx
 
 FACTORS = ["ethics_score", "volatility_score", "growth_score"]
-NAME_ROW = r"(?U)^\|\s*([A-Z]{1,5})\s*\|\s*([^|]*?)\s*\|"
 TOTAL_COLUMNS = ["total_revenue", "gross_profit", "operating_income", "ebitda", "total_assets",
                  "stockholders_equity", "total_debt", "operating_cash_flow", "capital_expenditure"]
 
 
-def reply_universe(replies: DataFrame, first_row_only: bool = False) -> DataFrame:
-    """Symbol -> company name as first written in the replies' pipe tables."""
-    ex = replies.select("reply_id", F.posexplode(S.lines(F.col("text"))).alias("line_no", "line"))
-    if first_row_only:
-        ex = ex.where(F.col("line_no") == 3)
-    rows = ex.select("reply_id", "line_no", F.regexp_extract("line", NAME_ROW, 1).alias("symbol"),
-                     F.regexp_extract("line", NAME_ROW, 2).alias("name")).where(F.col("symbol") != "")
-    return rows.groupBy("symbol").agg(F.min_by(F.col("name"), F.struct("reply_id", "line_no")).alias("name"))
-
-
 def q_extract_tickers(spark, sf):
     return S.extract_tickers(fx.replies(spark, sf))
 
 
 def q_vote_count(spark, sf):
     v = S.count_votes(S.extract_tickers(fx.replies(spark, sf)))
-    return v.select("request_id", "symbol", "votes", F.col("first_seen.reply_id").alias("first_reply_id"),
-                    F.col("first_seen.line_no").alias("first_line_no"))
+    return v.select("request_id", "symbol", "votes", "first_reply_id", "first_line_no")
 
 
 def q_top_voted(spark, sf):
@@ -48,19 +36,19 @@ def q_vote_share(spark, sf):
 
 def q_consistent_top3(spark, sf):
     r = fx.replies(spark, sf)
-    return S.consistent_top3(r, reply_universe(r))
+    return S.consistent_top3(r, fx.universe(spark, sf))
 
 
 def q_name_lookup(spark, sf):
     r = fx.replies(spark, sf)
     syms = S.extract_tickers(r).select("symbol").distinct()
-    return S.name_lookup(syms, reply_universe(r, first_row_only=True))
+    return S.name_lookup(syms, fx.universe(spark, sf)).select("symbol", "name")
 
 
 def q_keep_members(spark, sf):
     r = fx.replies(spark, sf)
     winners = S.top_voted(S.count_votes(S.extract_tickers(r)), 3)
-    return S.keep_members(reply_universe(r), winners)
+    return S.keep_members(fx.universe(spark, sf), winners).select("request_id", "rank", "symbol", "name")
 
 
 def q_sector_screen(spark, sf):
@@ -140,10 +128,6 @@ _VC = """vc AS (SELECT request_id, symbol, COUNT(*) AS votes, MIN(reply_id * 100
 FROM tk GROUP BY request_id, symbol)"""
 _TV = """tv AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY votes DESC, fs) AS INTEGER) AS rank
 FROM vc)"""
-_UNI = """uni AS (SELECT symbol, ARG_MIN(name, reply_id * 1000 + line_no) AS name FROM (
-  SELECT reply_id, line_no, regexp_extract(line, '^\\|\\s*([A-Z]{1,5})\\s*\\|\\s*([^|]*?)\\s*\\|', 1) AS symbol,
-         regexp_extract(line, '^\\|\\s*([A-Z]{1,5})\\s*\\|\\s*([^|]*?)\\s*\\|', 2) AS name FROM ln {where}) x
-  WHERE symbol <> '' GROUP BY symbol)"""
 _SC = """sc AS (SELECT *, LEAST(GREATEST(ethics_score, 0), 5) + LEAST(GREATEST(volatility_score, 0), 5)
   + LEAST(GREATEST(growth_score, 0), 5) AS total_score FROM v_scores)"""
 
@@ -157,14 +141,14 @@ SELECT request_id, rank, symbol, votes FROM tv WHERE rank <= 3"""),
     "vote_share": with_fixtures(["v_replies"], _LINES, _TK, _VC, body="""
 SELECT vc.request_id, symbol, votes, a.attempts, ROUND(votes / a.attempts, 9) AS vote_share
 FROM vc JOIN (SELECT request_id, COUNT(*) AS attempts FROM v_replies GROUP BY request_id) a USING (request_id)"""),
-    "consistent_top3": with_fixtures(["v_replies"], _LINES, _TK, _VC, _TV, _UNI.replace("{where}", ""), body="""
-SELECT request_id, rank, symbol, COALESCE(uni.name, 'Unknown Company') AS name, votes
-FROM tv LEFT JOIN uni USING (symbol) WHERE rank <= 3"""),
-    "name_lookup": with_fixtures(["v_replies"], _LINES, _TK, _UNI.replace("{where}", "WHERE line_no = 3"), body="""
-SELECT s.symbol, COALESCE(uni.name, 'Unknown Company') AS name
-FROM (SELECT DISTINCT symbol FROM tk) s LEFT JOIN uni USING (symbol)"""),
-    "keep_members": with_fixtures(["v_replies"], _LINES, _TK, _VC, _TV, _UNI.replace("{where}", ""), body="""
-SELECT symbol, name FROM uni WHERE symbol IN (SELECT symbol FROM tv WHERE rank <= 3)"""),
+    "consistent_top3": with_fixtures(["v_replies", "v_universe"], _LINES, _TK, _VC, _TV, body="""
+SELECT request_id, rank, symbol, COALESCE(name, 'Unknown Company') AS name, votes
+FROM tv LEFT JOIN v_universe USING (symbol) WHERE rank <= 3"""),
+    "name_lookup": with_fixtures(["v_replies", "v_universe"], _LINES, _TK, body="""
+SELECT s.symbol, COALESCE(name, 'Unknown Company') AS name
+FROM (SELECT DISTINCT symbol FROM tk) s LEFT JOIN v_universe USING (symbol)"""),
+    "keep_members": with_fixtures(["v_replies", "v_universe"], _LINES, _TK, _VC, _TV, body="""
+SELECT request_id, rank, symbol, name FROM tv JOIN v_universe USING (symbol) WHERE rank <= 3"""),
     "sector_screen": with_fixtures(["v_info"], body="SELECT ticker, name FROM v_info WHERE sector = 'ASIA'"),
     "with_row_id": with_fixtures(["v_info"], body="""
 SELECT ticker, name, ROW_NUMBER() OVER (ORDER BY ticker) - 1 AS row_id FROM v_info"""),

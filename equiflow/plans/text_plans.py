@@ -11,8 +11,10 @@ from equiflow.operators import valuation as V
 from equiflow.plans.fixture_sql import with_fixtures
 from equiflow.sources import fixtures as fx
 
+# Labels and headers that replies carry.
 EBIT_LABEL = "EBIT Growth Rate"
 CSV_HEADER = "Year,Projected FCF,Present Value of FCF"
+CSV_SCHEMA = "year INT, fcf DOUBLE, pv DOUBLE"
 ROW3 = r"^\s*\|\s*([^|]*?)\s*\|\s*([^|]*?)\s*\|\s*([^|]*?)\s*\|"
 
 
@@ -41,7 +43,11 @@ def q_parse_growth(spark, sf):
 
 
 def q_parse_number(spark, sf):
-    return fx.forecast_replies(spark, sf).select("ticker", TP.parse_number(F.col("text")).alias("value"))
+    return fx.number_replies(spark, sf).select("ticker", TP.parse_number(F.col("text")).alias("value"))
+
+
+def q_number_rejects(spark, sf):
+    return TP.number_rejects(fx.number_replies(spark, sf))
 
 
 def q_parse_pipe_table(spark, sf):
@@ -56,11 +62,17 @@ def q_render_csv(spark, sf):
 def q_extract_csv(spark, sf):
     """X05/X06 round trip: CSV rendered inside prose and a code fence, then parsed back."""
     csv = q_render_csv(spark, sf)
-    reply = csv.select("ticker", F.concat(F.lit("Here is the DCF table:\n```csv\n"), "text",
-                                          F.lit("\n```\nHope this helps.")).alias("text"))
-    out = TP.extract_csv(reply, ["ticker"], CSV_HEADER, ["year", "fcf", "pv"])
-    return out.select("ticker", "row_no", F.col("year").try_cast("int").alias("year"),
-                      F.col("fcf").try_cast("double").alias("fcf"), F.col("pv").try_cast("double").alias("pv"))
+    return TP.extract_csv(_csv_replies(csv), ["ticker"], CSV_HEADER, CSV_SCHEMA)
+
+
+def _csv_replies(csv: DataFrame) -> DataFrame:
+    """CSV text as a model would send it: in prose and a fence, with a line in it that is no row."""
+    return csv.select("ticker", F.concat(F.lit("Here is the table:\n```csv\n"), "text",
+                                         F.lit("\ntotal of all years\n```\nHope this helps.")).alias("text"))
+
+
+def q_csv_rejects(spark, sf):
+    return TP.csv_rejects(_csv_replies(q_render_csv(spark, sf)), ["ticker"], CSV_HEADER, CSV_SCHEMA)
 
 
 def q_render_pipe_table(spark, sf):
@@ -72,9 +84,9 @@ def q_render_table(spark, sf):
 
 
 BREAKDOWN = {
-    "Market_Value_Equity": "market_value_equity", "Market_Value_Debt": "market_value_debt",
-    "Total_Capital_Value": "total_capital", "Beta": "beta", "Cost_of_Equity_Re": "cost_of_equity",
-    "Cost_of_Debt_Rd": "cost_of_debt", "Corporate_Tax_Rate_Tc": "corporate_tax_rate",
+    "Equity value": ("market_value_equity", TR.MONEY), "Debt value": ("market_value_debt", TR.MONEY),
+    "Total capital": ("total_capital", TR.MONEY), "Beta": ("beta", TR.RATIO), "Cost of equity": ("cost_of_equity", TR.RATE),
+    "Cost of debt": ("cost_of_debt", TR.RATE), "Tax rate": ("corporate_tax_rate", TR.RATE),
 }
 
 
@@ -84,31 +96,52 @@ def q_render_breakdown(spark, sf):
     return TR.render_breakdown(p, "ticker", BREAKDOWN)
 
 
+#: Request texts as data: name -> lines with {field} in place of a formatted value.
+TEMPLATES = {
+    "valuation": ("Value company {ticker} by its free cash flows.", "Growth after the horizon: {terminal_growth_rate}", "EBITDA multiple at exit: {exit_multiple}",
+                  "Discount rate: {wacc}", "Net debt: {net_debt}", "Shares: {shares_outstanding}"),
+    "discount_rate": ("Check the discount rate of company {ticker}.", "Cost of capital computed here: {wacc}", "Reply with one number."),
+}
+
+
+def request_texts(params: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+    """One row per (ticker, template); a field without value reads NOT PROVIDED."""
+    c = F.col
+    values = {
+        "ticker": c("ticker").cast("string"), "terminal_growth_rate": TR.fmt_or(c("terminal_growth_rate"), TR.fmt_pct(c("terminal_growth_rate"))),
+        "exit_multiple": TR.fmt_or(c("exit_multiple"), TR.fmt_mult(c("exit_multiple"))), "wacc": TR.fmt_or(c("wacc"), TR.fmt_pct(c("wacc"))),
+        "net_debt": TR.fmt_or(c("net_debt"), TR.fmt_money(c("net_debt"))),
+        "shares_outstanding": TR.fmt_or(c("shares_outstanding"), F.format_number(c("shares_outstanding"), 0)),
+    }
+    texts = []
+    for name, lines in templates.items():
+        text = F.lit("\n".join(lines))
+        for field, value in values.items():
+            text = F.replace(text, F.lit("{" + field + "}"), value)
+        texts.append(F.struct(F.lit(name).alias("template"), text.alias("request")))
+    return params.select("ticker", F.explode(F.array(*texts)).alias("t")).select("ticker", "t.template", "t.request")
+
+
 def q_render_requests(spark, sf):
-    """One DCF request text per ticker from its parameter row (templates kept as data)."""
+    """The request texts of every ticker from its parameter row."""
     from equiflow.plans.valuation_plans import fund
-    p = V.dcf_parameters(fund(spark, sf), fx.info(spark, sf))
-    c = F.col
-    text = F.concat(
-        F.lit("Perform a Discounted Cash Flow (DCF) analysis for "), c("ticker").cast("string"), F.lit(".\n"),
-        F.lit("Terminal Growth Rate: "), TR.fmt_or(c("terminal_growth_rate"), TR.fmt_pct(c("terminal_growth_rate"))),
-        F.lit("\nExit Multiple (EV/EBITDA): "), TR.fmt_or(c("exit_multiple"), TR.fmt_mult(c("exit_multiple"))),
-        F.lit("\nWACC: "), TR.fmt_or(c("wacc"), TR.fmt_pct(c("wacc"))),
-        F.lit("\nNet Debt: "), TR.fmt_or(c("net_debt"), TR.fmt_money(c("net_debt"))),
-        F.lit("\nShares Outstanding: "), TR.fmt_or(c("shares_outstanding"), F.format_number(c("shares_outstanding"), 0)),
-    )
-    return p.select("ticker", text.alias("request"))
+    return request_texts(V.dcf_parameters(fund(spark, sf), fx.info(spark, sf)))
 
 
 def q_to_html_rows(spark, sf):
     keys = ["request_id", "reply_id"]
-    return TR.to_html_rows(TP.parse_pipe_table(fx.replies(spark, sf), keys), keys)
+    return TR.to_html_rows(TP.table_parts(fx.replies(spark, sf), keys), keys)
 
 
 def q_explode_bullets(spark, sf):
-    """Company rows with their rationale bullets (continuation rows belong to the symbol above)."""
+    """Company rows with their rationale bullets (a row without symbol belongs to the symbol above).
+
+    The table is found by its separator line; rows before it are no company rows.
+    """
     r = fx.replies(spark, sf)
-    ln = r.select("reply_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).where(F.col("ln") >= 3)
+    ln = r.select("reply_id", F.split("text", "\n").alias("l"))
+    rule = F.array_position(F.transform("l", lambda x: x.rlike(r"^\s*\|(\s*:?-+:?\s*\|)+\s*$")), True).cast("int")
+    ln = ln.select("reply_id", rule.alias("rule"), F.posexplode("l").alias("ln", "line")).where((F.col("rule") > 0) & (F.col("ln") >= F.col("rule")))
     ln = ln.select("reply_id", "ln", *[F.regexp_extract("line", ROW3, i).alias(n)
                                        for i, n in ((1, "sym"), (2, "name"), (3, "bullet"))])
     ln = ln.where(F.col("bullet") != "")
@@ -121,13 +154,13 @@ def q_explode_bullets(spark, sf):
         F.min_by("cname", "ln").alias("name"),
         F.array_sort(F.collect_list(F.struct("ln", "bullet"))).alias("_b"))
     grouped = grouped.withColumn("bullets", F.transform("_b", lambda x: x["bullet"]))
-    return TR.explode_bullets(grouped, ["reply_id"])
+    return TR.explode_bullets(grouped, ["reply_id"]).drop("more")
 
 
 def q_table_profile(spark, sf):
     p = TR.profile(fx.prices(spark, sf), ["close", "high", "low", "volume"])
     return p.select("column", "count", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"),
-                    "min", "max")
+                    "min", "p25", "p50", "p75", "max")
 
 
 QUERIES = {
@@ -135,6 +168,8 @@ QUERIES = {
     "forecast_rejects": q_forecast_rejects,
     "parse_growth": q_parse_growth,
     "parse_number": q_parse_number,
+    "number_rejects": q_number_rejects,
+    "csv_rejects": q_csv_rejects,
     "parse_pipe_table": q_parse_pipe_table,
     "render_csv": q_render_csv,
     "extract_csv": q_extract_csv,
@@ -162,16 +197,17 @@ _FC = """fl AS (SELECT ticker, string_split(regexp_extract(text, 'Forecast:\\s*\
 _CSV = """csv AS (SELECT ticker, 'Year,Projected FCF,Present Value of FCF' || chr(10)
   || string_agg(year || ',' || COALESCE(fcf, '') || ',' || COALESCE(pv, ''), chr(10) ORDER BY step) AS text
   FROM yt GROUP BY ticker)"""
-_PT = """tl AS (SELECT request_id, reply_id, list_filter(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)),
+_PT = """tl AS (SELECT request_id, reply_id, list_filter(string_split(trim(text, {WS}), chr(10)),
    lambda l: contains(l, '|')) AS t FROM v_replies),
 hd AS (SELECT request_id, reply_id, t,
-   list_filter(list_transform(string_split(t[1], '|'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')),
+   list_filter(list_transform(string_split(t[1], '|'), lambda c: trim(c, {WS})),
    lambda c: c <> '') AS h FROM tl WHERE len(t) >= 3),
 rw AS (SELECT request_id, reply_id, h, g.i - 1 AS row_no,
-   list_filter(list_transform(string_split(t[g.i], '|'), lambda c: regexp_replace(c, '^\\s+|\\s+$', '', 'g')),
+   list_filter(list_transform(string_split(t[g.i], '|'), lambda c: trim(c, {WS})),
    lambda c: c <> '') AS c FROM hd, generate_series(3, len(t)) AS g(i)),
 pt AS (SELECT request_id, reply_id, CAST(row_no AS INTEGER) AS row_no, CAST(k.j - 1 AS INTEGER) AS col_no,
-   h[k.j] AS header, c[k.j] AS cell FROM rw, generate_series(1, len(h)) AS k(j) WHERE len(c) = len(h))"""
+   h[k.j] AS header, c[k.j] AS cell FROM rw, generate_series(1, len(h)) AS k(j) WHERE len(c) = len(h))""".replace(
+    "{WS}", "' ' || " + " || ".join(f"chr({n})" for n in (9, 10, 11, 12, 13, 160)))  # the white space that the fixture holds
 _W = """wd AS (SELECT ticker, step, year, fcf, pv,
   CAST(GREATEST(MAX(length(year)) OVER (PARTITION BY ticker), 4) AS INTEGER) AS wy,
   CAST(GREATEST(MAX(length(fcf)) OVER (PARTITION BY ticker), 3) AS INTEGER) AS wf,
@@ -190,9 +226,13 @@ SELECT ticker,
   TRY_CAST(NULLIF(regexp_extract(text, 'EBIT Growth Rate:\\s*([+-]?\\d+\\.?\\d*)%', 1), '') AS DOUBLE) / 100.0 AS growth,
   TRY_CAST(NULLIF(regexp_extract(text, 'EBIT Growth Rate:\\s*([\\d.]+)%', 1), '') AS DOUBLE) / 100.0 AS growth_strict
 FROM v_forecast_replies"""),
-    "parse_number": with_fixtures(["v_forecast_replies"], body="""
-SELECT ticker, TRY_CAST(NULLIF(regexp_extract(text, '[-+]?\\d+(\\.\\d+)?', 0), '') AS DOUBLE) AS value
-FROM v_forecast_replies"""),
+    "parse_number": with_fixtures(["v_number_replies"], body="""
+SELECT ticker, CASE WHEN ticker % 8 IN (0, 1, 2, 3, 4) THEN TRY_CAST(regexp_extract(text, '[0-9.eE+-]+', 0) AS DOUBLE) END AS value
+FROM v_number_replies"""),
+    "number_rejects": with_fixtures(["v_number_replies"], body="""
+SELECT ticker, text FROM v_number_replies WHERE ticker % 8 NOT IN (0, 1, 2, 3, 4)"""),
+    "csv_rejects": with_fixtures(_YFX, *_yearly_ctes(), body="""
+SELECT ticker, CAST(COUNT(*) + 1 AS INTEGER) AS row_no, 'total of all years' AS line FROM yt GROUP BY ticker"""),
     "parse_pipe_table": with_fixtures(["v_replies"], _PT, body="SELECT * FROM pt"),
     "render_csv": with_fixtures(_YFX, *_yearly_ctes(), _CSV, body="SELECT ticker, text FROM csv"),
     "extract_csv": with_fixtures(_YFX, *_yearly_ctes(), body="""
@@ -215,50 +255,47 @@ SELECT ticker, string_agg(line, chr(10) ORDER BY o) AS text FROM (
   FROM wd) x GROUP BY ticker"""),
     "table_profile": with_fixtures(["v_prices"], body="\nUNION ALL ".join(
         f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, ROUND(AVG({c}), 6) AS mean, "
-        f"ROUND(STDDEV_SAMP({c}), 6) AS stddev, MIN({c}) AS min, MAX({c}) AS max FROM v_prices"
+        f"ROUND(STDDEV_SAMP({c}), 6) AS stddev, MIN({c}) AS min, "
+        + "".join(f"LIST_SORT(LIST({c}))[CAST(CEIL({q} * COUNT({c})) AS BIGINT)] AS p{q * 100:.0f}, " for q in (0.25, 0.5, 0.75))
+        + f" MAX({c}) AS max FROM v_prices"
         for c in ("close", "high", "low", "volume"))),
 }
 
 
 def _breakdown_sql() -> str:
     from equiflow.plans.valuation_plans import _F, _FX, _LM, _LT, _M, _RN, _W as WACC
-    items = list(BREAKDOWN.items())
-    parts = []
-    for pos, (name, src) in enumerate(items):
-        label = name.replace("_", " ")
-        rate = any(k in name for k in ("Rate", "Premium", "Cost_of"))
-        val = f"printf('%.2f%%', {src} * 100)" if rate else f"'$' || format('{{:,.0f}}', {src})"
-        parts.append(f"SELECT ticker, CAST({pos} AS INTEGER) AS pos, '{label}: ' || "
-                     f"CASE WHEN {src} IS NULL THEN 'N/A' ELSE {val} END AS line FROM wc")
+    forms = {TR.RATE: "printf('%.2f%%', {c} * 100)", TR.MONEY: "'$' || format('{{:,.0f}}', {c})", TR.RATIO: "printf('%.2f', {c})"}
+    parts = [f"SELECT ticker, CAST({pos} AS INTEGER) AS pos, '{label}: ' || CASE WHEN {c} IS NULL THEN 'N/A' ELSE {forms[kind].format(c=c)} END AS line FROM wc"
+             for pos, (label, (c, kind)) in enumerate(BREAKDOWN.items())]
     return with_fixtures(_FX + ["v_info"], _M, _F, _RN, _LT, _LM, WACC, body="\nUNION ALL ".join(parts))
 
 
 def _requests_sql() -> str:
     from equiflow.plans.valuation_plans import _F, _FX, _LM, _LT, _M, _RN, _W as WACC
-    return with_fixtures(_FX + ["v_info"], _M, _F, _RN, _LT, _LM, WACC, body="""
-SELECT ticker, 'Perform a Discounted Cash Flow (DCF) analysis for ' || CAST(ticker AS VARCHAR) || '.' || chr(10)
-  || 'Terminal Growth Rate: 2.5%' || chr(10) || 'Exit Multiple (EV/EBITDA): 10.0x' || chr(10)
-  || 'WACC: ' || CASE WHEN wacc IS NULL THEN 'NOT PROVIDED' ELSE printf('%.1f%%', wacc * 100) END || chr(10)
-  || 'Net Debt: ' || CASE WHEN net_debt IS NULL THEN 'NOT PROVIDED' ELSE '$' || format('{:,.0f}', net_debt) END
-  || chr(10) || 'Shares Outstanding: '
-  || CASE WHEN shares_outstanding IS NULL THEN 'NOT PROVIDED' ELSE format('{:,.0f}', shares_outstanding) END AS request
-FROM wc""")
-
-
-_HTML = """SELECT request_id, reply_id,
-  '<table><caption>AI Analysis Result</caption><thead><tr>' || th || '</tr></thead><tbody>' || tb || '</tbody></table>' AS html
-FROM (SELECT request_id, reply_id, string_agg('<th>' || header || '</th>', '' ORDER BY col_no) AS th
-      FROM pt WHERE row_no = 2 GROUP BY request_id, reply_id) a
-JOIN (SELECT request_id, reply_id, string_agg(tr, '' ORDER BY row_no) AS tb FROM (
-        SELECT request_id, reply_id, row_no, '<tr>' || string_agg('<td>' || cell || '</td>', '' ORDER BY col_no) || '</tr>' AS tr
-        FROM pt GROUP BY request_id, reply_id, row_no) r GROUP BY request_id, reply_id) b USING (request_id, reply_id)"""
+    w = "CASE WHEN wacc IS NULL THEN 'NOT PROVIDED' ELSE printf('%.1f%%', wacc * 100) END"
+    return with_fixtures(_FX + ["v_info"], _M, _F, _RN, _LT, _LM, WACC, body=f"""
+SELECT ticker, 'valuation' AS template, 'Value company ' || CAST(ticker AS VARCHAR) || ' by its free cash flows.' || chr(10)
+  || 'Growth after the horizon: 2.5%' || chr(10) || 'EBITDA multiple at exit: 10.0x' || chr(10) || 'Discount rate: ' || {w} || chr(10)
+  || 'Net debt: ' || CASE WHEN net_debt IS NULL THEN 'NOT PROVIDED' ELSE '$' || format('{{:,.0f}}', net_debt) END
+  || chr(10) || 'Shares: ' || CASE WHEN shares_outstanding IS NULL THEN 'NOT PROVIDED' ELSE format('{{:,.0f}}', shares_outstanding) END AS request
+FROM wc
+UNION ALL SELECT ticker, 'discount_rate', 'Check the discount rate of company ' || CAST(ticker AS VARCHAR) || '.' || chr(10)
+  || 'Cost of capital computed here: ' || {w} || chr(10) || 'Reply with one number.' FROM wc""")
+
+
+_HTML = """SELECT hd.request_id, hd.reply_id,
+  '<table><thead><tr>' || list_aggregate(list_transform(h, lambda x: '<th>' || x || '</th>'), 'string_agg', '') || '</tr></thead><tbody>'
+  || COALESCE(tb, '') || '</tbody></table>' AS html
+FROM hd LEFT JOIN (SELECT reply_id, string_agg('<tr>' || list_aggregate(list_transform(c, lambda x: '<td>' || x || '</td>'), 'string_agg', '') || '</tr>', '' ORDER BY row_no) AS tb
+  FROM rw WHERE len(c) = len(h) GROUP BY reply_id) b ON b.reply_id = hd.reply_id"""
 
 _BUL = """bl AS (SELECT reply_id, CAST(g.i - 1 AS INTEGER) AS ln, string_split(text, chr(10))[g.i] AS line
   FROM v_replies, generate_series(1, len(string_split(text, chr(10)))) AS g(i)),
 b2 AS (SELECT reply_id, ln, regexp_extract(line, '^\\s*\\|\\s*([^|]*?)\\s*\\|\\s*([^|]*?)\\s*\\|\\s*([^|]*?)\\s*\\|', 1) AS sym,
   regexp_extract(line, '^\\s*\\|\\s*([^|]*?)\\s*\\|\\s*([^|]*?)\\s*\\|\\s*([^|]*?)\\s*\\|', 2) AS nm,
   regexp_extract(line, '^\\s*\\|\\s*([^|]*?)\\s*\\|\\s*([^|]*?)\\s*\\|\\s*([^|]*?)\\s*\\|', 3) AS bullet
-  FROM bl WHERE ln >= 3),
+  FROM bl JOIN (SELECT reply_id AS rid, MIN(ln) AS rule FROM bl WHERE regexp_matches(line, '^\\s*\\|(\\s*:?-+:?\\s*\\|)+\\s*$') GROUP BY reply_id) z
+    ON z.rid = bl.reply_id WHERE ln > rule),
 b3 AS (SELECT reply_id, ln, bullet,
   LAST_VALUE(NULLIF(sym, '') IGNORE NULLS) OVER w AS symbol, LAST_VALUE(NULLIF(nm, '') IGNORE NULLS) OVER w AS cname
   FROM b2 WHERE bullet <> '' WINDOW w AS (PARTITION BY reply_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -271,4 +308,4 @@ ORACLE["to_html_rows"] = with_fixtures(["v_replies"], _PT, body=_HTML)
 ORACLE["explode_bullets"] = with_fixtures(["v_replies"], _BUL, body="""
 SELECT reply_id, CAST(g.i - 1 AS INTEGER) AS pos, CASE WHEN g.i = 1 THEN symbol ELSE '' END AS symbol_cell,
   CASE WHEN g.i = 1 THEN name ELSE '' END AS name_cell, bullets[g.i] AS bullet
-FROM b4, generate_series(1, LEAST(len(bullets), 3)) AS g(i)""")
+FROM b4, generate_series(1, len(bullets)) AS g(i)""")

@@ -107,5 +107,5 @@ def test_pipe_table_edge_cases(spark):
 def test_csv_reply_with_fence_and_prose(spark):
     body = "\n".join(f"{2025 + k},{k}.5" for k in range(5))
     df = spark.createDataFrame([(1, f"Sure!\n```csv\nYear,FCF\n{body}\n```\nThat is all.")], "id int, text string")
-    out = TP.extract_csv(df, ["id"], "Year,FCF", ["year", "fcf"]).collect()
-    assert len(out) == 5 and out[0].year == "2025"
+    out = TP.extract_csv(df, ["id"], "Year,FCF", "year INT, fcf DOUBLE").collect()
+    assert len(out) == 5 and out[0].year == 2025
