@@ -20,26 +20,3 @@ def col(c: ColumnOrName) -> Column:
 def div(a: ColumnOrName, b: ColumnOrName) -> Column:
     """a / b, NULL when b is 0 or NULL."""
     return F.try_divide(col(a), col(b))
-
-
-def zero_null(c: ColumnOrName) -> Column:
-    """0 -> NULL (pandas ``replace({0: nan})``)."""
-    c = col(c)
-    return F.when(c != F.lit(0), c)
-
-
-def num(c: ColumnOrName) -> Column:
-    """Lenient numeric coercion: unparsable -> NULL (``to_numeric(errors='coerce')``)."""
-    return col(c).try_cast("double")
-
-
-def ratio(a: ColumnOrName, b: ColumnOrName, digits: int = 6) -> Column:
-    return F.round(div(a, b), digits)
-
-
-def money(c: ColumnOrName, digits: int = 2) -> Column:
-    return F.round(col(c), digits)
-
-
-def clamp(c: ColumnOrName, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(col(c), F.lit(lo)), F.lit(hi))

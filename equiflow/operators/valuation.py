@@ -68,10 +68,14 @@ def capital_base(lm: DataFrame) -> DataFrame:
     })
 
 
+def beta_or_market(beta: Column) -> Column:
+    """Q7: a beta that is missing or zero is the market's."""
+    return F.when(beta.isNull() | (beta == 0), F.lit(DEFAULT_BETA)).otherwise(beta)
+
+
 def cost_of_equity(beta: Column, rf: float = RISK_FREE, mrp: float = MARKET_PREMIUM) -> Column:
-    """CAPM with beta missing or zero -> 1.0 (Q7)."""
-    b = F.when(beta.isNull() | (beta == 0), F.lit(DEFAULT_BETA)).otherwise(beta)
-    return F.lit(rf) + b * F.lit(mrp)
+    """CAPM."""
+    return F.lit(rf) + beta_or_market(beta) * F.lit(mrp)
 
 
 def wacc(lm: DataFrame, rf: float = RISK_FREE, mrp: float = MARKET_PREMIUM) -> DataFrame:
@@ -85,7 +89,6 @@ def wacc(lm: DataFrame, rf: float = RISK_FREE, mrp: float = MARKET_PREMIUM) -> D
     d = c("total_debt")
     v = e + d
     ok = v.isNotNull() & (v > 0)
-    beta = F.when(c("beta").isNull() | (c("beta") == 0), F.lit(DEFAULT_BETA)).otherwise(c("beta"))
     rd = F.when(d.isNotNull() & (d > 0) & c("interest_expense").isNotNull(), div("interest_expense", d)) \
         .otherwise(F.lit(DEFAULT_COST_OF_DEBT))
     tc_raw = div("tax_provision", "pretax_income")
@@ -96,8 +99,8 @@ def wacc(lm: DataFrame, rf: float = RISK_FREE, mrp: float = MARKET_PREMIUM) -> D
         "market_value_equity": e,
         "market_value_debt": d,
         "total_capital": v,
-        "wacc_beta": F.when(ok, beta),
-        "cost_of_equity": F.when(ok, F.lit(rf) + beta * F.lit(mrp)),
+        "wacc_beta": F.when(ok, beta_or_market(c("beta"))),
+        "cost_of_equity": F.when(ok, cost_of_equity(c("beta"), rf, mrp)),
         "cost_of_debt": F.when(ok, rd),
         "corporate_tax_rate": F.when(ok, tc),
     })
