@@ -49,4 +49,6 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, header: b
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     declared = StructType([*fields.fields, StructField(CORRUPT, StringType())])
     both = spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(declared).csv(path)
+    # true for every row: Spark reads no CSV for the corrupt column alone, as a count of either side would
+    both = both.where(F.xxhash64(*fields.fieldNames()) >= F.lit(-(2**63)))
     return both.where(F.col(CORRUPT).isNull()).drop(CORRUPT), both.where(F.col(CORRUPT).isNotNull())

@@ -65,6 +65,7 @@ def test_a_bad_csv_line_is_a_reject_and_ends_nothing(spark):
 def test_csv_files_give_rejects(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\nz,3\n4,5,6\n")
     good, bad = K.read_csv(spark, str(tmp_path), "a INT, b INT")
+    assert good.count() == 1 and bad.count() == 2
     assert [tuple(r) for r in good.collect()] == [(1, 2)] and sorted(r[K.CORRUPT] for r in bad.collect()) == ["4,5,6", "z,3"]
 
 
