@@ -86,8 +86,9 @@ def table_parts(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame
     ones dropped; a body row stays only with as many cells as headers, the header stays
     without any; fewer than three pipe lines are no table.
     """
-    t = df.select(*keys, table_lines(F.col(text)).alias("_tl")).where(F.size("_tl") >= 3)
-    t = t.select(*keys, F.transform("_tl", cells).alias("_cells"))
+    # exploding an array of one keeps Spark from computing these again for each column that uses them
+    t = df.select(*keys, F.explode(F.array(table_lines(F.col(text)))).alias("_tl")).where(F.size("_tl") >= 3)
+    t = t.select(*keys, F.explode(F.array(F.transform("_tl", cells))).alias("_cells"))
     head = F.element_at("_cells", 1)
     kept = F.filter(F.transform(F.slice("_cells", 3, F.size("_cells") - 2), lambda c, i: F.struct((i + 2).alias("row_no"), c.alias("cells"))),
                     lambda r: F.size(r["cells"]) == F.size(head))
