@@ -50,6 +50,8 @@ DICTIONARY = 100_000
 PAIRS = 96
 NOISE = 48
 BATCH = 4096
+#: Tokens scored at a time: their scores over all classes stay in the processor's cache.
+SCORED = 1024
 #: Share of the training texts read up to the end of each round.
 ROUNDS = (1 / 64, 1 / 8, 1.0)
 
@@ -169,14 +171,29 @@ class LogBilinear:
         return sum(self.p["context"][before[k]] * self.p["place"][k] for k in range(CONTEXT))
 
     def log_probability(self, before: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        """log10 P(class | context), normalised over all classes."""
-        out = np.empty(len(cls))
-        for a in range(0, len(cls), BATCH):
-            s = self.hidden(before[:, a : a + BATCH]) @ self.p["target"].T
-            s += self.p["bias"]
-            s -= s.max(1, keepdims=True)
-            mine = s[np.arange(len(s)), cls[a : a + BATCH]]
-            out[a : a + BATCH] = mine - np.log(np.exp(s, out=s).sum(1, dtype=np.float64))
+        """log10 P(class | context), normalised over all classes.
+
+        One product gives the scores of a block, biases included, less a bound on each
+        row's largest (|hidden| times the longest target vector), so no score overflows.
+        """
+        p, k = self.p, len(self.noise)
+        targets = np.ascontiguousarray(np.vstack([p["target"].T, p["bias"], np.ones((1, k), np.float32)]))
+        longest, top = np.sqrt((p["target"] ** 2).sum(1)).max(), p["bias"].max()
+        out, one, scores = np.empty(len(cls)), np.ones(k, np.float32), np.empty((SCORED, k), np.float32)
+        for a in range(0, len(cls), SCORED):
+            c = cls[a : a + SCORED]
+            h = np.empty((len(c), WIDTH + 2), np.float32)
+            h[:, :WIDTH] = self.hidden(before[:, a : a + SCORED])
+            h[:, WIDTH] = 1
+            h[:, WIDTH + 1] = -(np.sqrt((h[:, :WIDTH] ** 2).sum(1)) * longest + top)
+            s = np.matmul(h, targets, out=scores[: len(c)])
+            mine = s[np.arange(len(c)), c]
+            total = np.exp(s, out=s) @ one
+            if total.min() < 1e-30:  # the bound was far from the largest score
+                s = np.matmul(h, targets, out=s)
+                most = s.max(1, keepdims=True)
+                mine, total = mine - most[:, 0], np.exp(s - most) @ one
+            out[a : a + SCORED] = mine - np.log(total)
         return out / np.log(10)
 
     def learn(self, before: np.ndarray, cls: np.ndarray, square: dict[str, np.ndarray], r: np.random.Generator, rate: float) -> None:
@@ -187,7 +204,7 @@ class LogBilinear:
         h = self.hidden(before)
         q = p["target"][cls]
         up = (h * q).sum(1) + p["bias"][cls] - log_noise[cls]
-        down = h @ p["target"][drawn].T + (p["bias"][drawn] - log_noise[drawn]).astype(np.float32)
+        down = h @ np.ascontiguousarray(p["target"][drawn].T) + (p["bias"][drawn] - log_noise[drawn]).astype(np.float32)
         du = (1 / (1 + np.exp(np.clip(up, -30, 30)))).astype(np.float32) / n  # 1 - sigmoid
         dd = (-1 / (1 + np.exp(np.clip(-down, -30, 30)))).astype(np.float32) / n
         dh = du[:, None] * q + dd @ p["target"][drawn]
@@ -205,7 +222,7 @@ class LogBilinear:
 
 
 def _rows_added(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.int16), kind="stable")  # classes are few; short keys sort by radix
     key = at[order]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     out = np.zeros((n, rows.shape[1]), np.float32)
