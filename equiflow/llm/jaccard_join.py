@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiflow.llm.common import checkpointed, free_name, partition_bound, table
+from equiflow.llm.common import checkpointed, free_name, partition_bound, table, trimmed
 from equiflow.llm.components import components
 from equiflow.llm.words import ODD, blocks, hashes, lowered, mix, spans
 
@@ -64,6 +64,8 @@ INDEX, INDEX_DELETED, PROBE, PROBE_DELETED = 1, 2, 4, 8
 
 #: Bits of the difference sketch of a set (the parity of its shingles in each of so many classes).
 SKETCH_BITS = 1024
+#: Shingles of texts kept for the next pairs of a task.
+SHINGLES_KEPT = 100_000
 #: Rows of a bucket that one task compares with as many others at a time.
 BLOCK_ROWS = 4096
 
@@ -178,16 +180,22 @@ class _Signer:
 
 
 def _describe(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """kind 0: a row's set size and the two halves of its set's hash; kind 1: a frequent shingle and its documents here."""
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, key = [], []
-            for sets in (_shingles(x, width) for x in blocks(batch["text"])):
+            n, hi, lo = [], [], []
+            for sets in (_shingles(x, width) for x in blocks(x.as_py() for x in batch.column("text"))):
                 n += [len(h) for h in sets]
-                key += [xxhash.xxh3_128_intdigest(h.tobytes()) if len(h) else None for h in sets]
+                for h in sets:
+                    key = xxhash.xxh3_128_intdigest(h.tobytes())
+                    hi.append(_signed(key >> 64) if len(h) else None)
+                    lo.append(_signed(key & (2**64 - 1)) if len(h) else None)
                 values, counts = _frequent(sets)
-                if len(values):
-                    yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(values), "Int64"), "n": counts, "hi": values.view(np.int64), "lo": 0})
-            yield pd.DataFrame({"kind": 0, "doc_id": batch["doc_id"].astype("Int64"), "n": n, "hi": pd.array([None if k is None else _signed(k >> 64) for k in key], "Int64"), "lo": pd.array([None if k is None else _signed(k & (2**64 - 1)) for k in key], "Int64")})
+                none = pa.nulls(len(values), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), none, pa.array(counts), pa.array(values.view(np.int64)), none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], schema=schema)
 
     return run
 
@@ -211,7 +219,7 @@ def _sign(width: int, frequent: np.ndarray, counts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen = _Signer(frequent, counts), set()
         for batch in batches:
-            for sets in (_shingles(x, width) for x in blocks(batch.column("text").to_pylist())):
+            for sets in (_shingles(x, width) for x in blocks(x.as_py() for x in batch.column("text"))):
                 fresh, sids = [], []
                 for h in sets:
                     sid = _signed(xxhash.xxh3_128_intdigest(h.tobytes()) >> 64)
@@ -256,25 +264,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
         w = words_of(text)
         return frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
+        held = 0
 
         def of(node, text):
+            nonlocal held
             if node not in kept:
-                if len(kept) >= 64:
+                if held > SHINGLES_KEPT:
                     kept.clear()
-                kept[node] = shingles(text)
+                    held = 0
+                kept[node] = shingles(text.as_py())
+                held += len(kept[node])
             return kept[node]
 
         for x in batches:
             ok = []
-            for a, b, ta, tb in zip(x["a"], x["b"], x["text_a"], x["text_b"]):
-                sa, sb = shingles(ta), of(b, tb)
+            for b, ta, tb in zip(x.column("b").to_pylist(), x.column("text_a"), x.column("text_b")):
+                sa, sb = shingles(ta.as_py()), of(b, tb)
                 same = len(sa & sb)
                 ok.append(same > 0 and 100 * same >= PERCENT * (len(sa) + len(sb) - same))
-            yield x.loc[ok, ["a", "b"]]
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -294,7 +306,7 @@ def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "text"])
 
     keyed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(NEEDED_BITS - 1).alias("p"))
-    return keyed.mapInArrow(run, "doc_id long, text string")
+    return keyed.mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -309,7 +321,7 @@ def _sketches(texts: DataFrame, width: int) -> DataFrame:
                     out.append(np.packbits(odd.astype(np.uint8)).tobytes())
             yield pd.DataFrame({"node": batch["node"], "sketch": out})
 
-    return texts.mapInPandas(run, "node long, sketch binary")
+    return texts.mapInPandas(trimmed(run), "node long, sketch binary")
 
 
 def _across(forest: bool):
@@ -381,7 +393,7 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """``(documents, classes, links)``: ``doc_id, n, hi, lo`` of each row; ``hi, lo, node, n`` of each distinct set
     (node: its smallest id); ``a, b`` between nodes, enough links to connect all that link."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = checkpointed(docs.mapInPandas(_describe(width), "kind int, doc_id long, n long, hi long, lo long"))
+    base = checkpointed(docs.mapInArrow(trimmed(_describe(width)), "kind int, doc_id long, n long, hi long, lo long"))
     rows = base.where("kind = 0").select("doc_id", "n", "hi", "lo")
     classes = checkpointed(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
     least = max(16, rows.count() // 1024)
@@ -391,9 +403,9 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     values, counts = values[order], often["c"].to_numpy(np.int64)[order]
 
     parts = partition_bound(df)
-    signed = docs.mapInArrow(_sign(width, values, counts), "key long, sid long")
+    signed = docs.mapInArrow(trimmed(_sign(width, values, counts)), "key long, sid long")
     met = signed.repartition(parts, F.shiftright("key", 4)).sortWithinPartitions("key", "sid")
-    met = checkpointed(met.mapInArrow(_heads, "bucket long, sid long, role int, head long, head_role int"))
+    met = checkpointed(met.mapInArrow(trimmed(_heads), "bucket long, sid long, role int, head long, head_role int"))
 
     nodes = classes.where("node is not null").select(F.col("hi").alias("sid"), "node", "n")
     shared = nodes.alias("x").join(nodes.alias("y"), "sid").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))  # sets whose short ids clash
@@ -414,7 +426,7 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     links = first
     for forest in (True, False):
         roots = components(links)
-        more = checkpointed(_cells(members, roots, texts, width, parts).mapInPandas(_across(forest), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+        more = checkpointed(_cells(members, roots, texts, width, parts).mapInPandas(trimmed(_across(forest)), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(checkpointed(_verified(more, texts, width)))
         tried = tried.union(more)
     return rows, classes, links

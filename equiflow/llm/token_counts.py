@@ -110,6 +110,7 @@ def token_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         counts = _KEPT[path]
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": [counts.of(t) for t in batch["text"]]})
+        counts.clear()  # idle workers hold no words
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_tokens long").withColumnRenamed("doc_id", id_col)

@@ -44,7 +44,7 @@ def lowered(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower() if text else b""
 
 
-def blocks(texts, size: int = 2 << 20) -> Iterator[list[bytes]]:
+def blocks(texts, size: int = 1 << 19) -> Iterator[list[bytes]]:
     """The texts, lowered, in lists of about ``size`` bytes together (a text is never cut)."""
     held, total = [], 0
     for text in texts:
