@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def trimmed(run):
+    """``run`` (batches in, batches out) that hands the memory it freed back to the system when its task ends.
+
+    Spark keeps idle Python workers, and each would hold on to its largest task's memory.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that clashes with none of ``df`` (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

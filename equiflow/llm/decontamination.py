@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiflow.llm.common import table
+from equiflow.llm.common import table, trimmed
 
 WIDTH = 8
 MIN_TOKENS = 4
 MIN_COVERAGE = 0.5
 BLOCK_BYTES = 16 << 20
-WORDS_AT_ONCE = 400_000
+WORDS_AT_ONCE = 150_000
 #: Units that may follow a number.
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams ton tons ounce ounces pound pounds "
@@ -169,7 +169,7 @@ class Benchmark:
         return best
 
 
-def _matches(bench: Benchmark, texts: list[str | None], min_coverage: float) -> Iterator[tuple[int, int, int, bool]]:
+def _matches(bench: Benchmark, texts: Iterable[str | None], min_coverage: float) -> Iterator[tuple[int, int, int, bool]]:
     """(row, item, covered tokens, re-parameterised) of the texts that hold an item; whole texts, some hundred thousand words at a time."""
     words, held, rows, count = _Words(), [], [], 0
 
@@ -188,7 +188,7 @@ def _matches(bench: Benchmark, texts: list[str | None], min_coverage: float) ->
             if count >= WORDS_AT_ONCE:
                 yield from flush()
                 held, rows, count = [], [], 0
-                if len(words) > 500_000:
+                if len(words) > 200_000:
                     words.reset()
     yield from flush()
 
@@ -214,7 +214,7 @@ def contaminated_pairs(df: DataFrame, benchmark: DataFrame, text_col: str = "tex
                 rows = [(ids[r], bench.ids[i], n, len(bench.plain[i]), n / len(bench.plain[i]), changed) for r, i, n, changed in _matches(bench, batch["text"].tolist(), min_coverage)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "covered_tokens", "item_tokens", "coverage", "reparameterised"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        part = docs.mapInPandas(run, schema)
+        part = docs.mapInPandas(trimmed(run), schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = df.sparkSession.createDataFrame([], schema)
@@ -228,11 +228,11 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
         def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for r, *_ in _matches(bench, batch.column(at).to_pylist(), min_coverage):
+                for r, *_ in _matches(bench, (x.as_py() for x in batch.column(at)), min_coverage):
                     keep[r] = False
                 yield batch.filter(pa.array(keep))
 
-        df = df.mapInArrow(run, df.schema)
+        df = df.mapInArrow(trimmed(run), df.schema)
     return df
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiflow.llm.common import id_remainder, table
+from equiflow.llm.common import id_remainder, table, trimmed
 
 STEPS = 64
 WINDOWS = 8
@@ -209,7 +209,7 @@ def predict_languages(df: DataFrame, net: ByteGru, text_col: str = "text", id_co
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": labels, "score": scores})
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), (id_remainder(F.col(id_col), 3) == 1).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
+    return rows.mapInPandas(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", id_col)
 
 
 def keep_identified(df: DataFrame, net: ByteGru, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
@@ -221,7 +221,7 @@ def keep_identified(df: DataFrame, net: ByteGru, text_col: str = "text", min_sco
             labels, scores = identify(net, batch.column(at).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in zip(labels, scores)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(trimmed(run), df.schema)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

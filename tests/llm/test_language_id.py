@@ -1,7 +1,9 @@
+import functools
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from equiflow.llm import language_id as L
 
@@ -9,6 +11,11 @@ SCHEMA = "doc_id long, text string, lang string, score string, label string"
 WORDS = {"aa": ["the", "and", "with", "house", "river"], "bb": ["où", "été", "leçon", "garçon", "maïs"], "cc": ["für", "über", "straße", "schön", "mädchen"]}
 
 
+@pytest.fixture
+def short_training(monkeypatch):
+    monkeypatch.setattr(L, "train", functools.partial(L.train, steps=60))
+
+
 def corpus(n=600):
     r = random.Random(2)
     langs = list(WORDS)
@@ -46,7 +53,7 @@ def test_held_out_accuracy_and_whole_texts(spark):
     assert label == "cc" and 0.5 < score <= 1
 
 
-def test_edge_cases(spark):
+def test_edge_cases(spark, short_training):
     df = spark.createDataFrame(corpus(90), SCHEMA)
     net = L.fit(df)
     odd = spark.createDataFrame([(1, None, None, "s", None), (2, "", "aa", None, None), (3, "12 34 $%", "aa", None, None), (None, "river house", None, None, None), (4, "the river", "zz", None, None), (4, "the river", "zz", None, None)], SCHEMA)
@@ -60,7 +67,7 @@ def test_edge_cases(spark):
     assert L.predict_languages(df.limit(0), L.fit(df.limit(0))).count() == 0
 
 
-def test_labels_of_held_out_rows_are_never_read(spark):
+def test_labels_of_held_out_rows_are_never_read(spark, short_training):
     rows = corpus(150)
     held = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1}
     a = spark.createDataFrame(rows, SCHEMA)
