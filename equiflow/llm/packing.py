@@ -28,50 +28,71 @@ its own; an empty table gives an empty result; other columns are ignored by
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiflow.llm.common import checkpointed, table
+from equiflow.llm.common import checkpointed, table, trimmed
 
 WINDOW = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
 
+_MARKS = frozenset(b".,;:!?")
+
+
 class WordIds(dict):
     """Bytes of the ids (little-endian, 32 bits) of a piece of text without white space; tokenised once, then kept.
 
     The tokenizer drops white space and no token spans it, so a text's ids are the
     ids of its pieces in turn.  It lower-cases too, and a lone sentence mark after a letter
     or digit is a token of its own, so those forms are put together from the plain word.
+    A word of lower-case Latin letters passes its normaliser and splitter unchanged; its
+    bytes, as the letters the vocabulary writes them with, go to the model at once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {k: written(chr(k))[0][0] for k in range(0x80, 0x250)}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 500_000:
             self.clear()
-        low = word if b"<" in word else word.lower()  # special tokens are looked up before case is dropped
-        if low != word:
-            ids = self[low]
-        elif word[-1] in b".,;:!?" and word[-2:-1].isalnum():
+        if b"<" not in word and (low := word.lower()) != word:  # special tokens are looked up before case is dropped
+            return self[low]
+        if word.isalpha():  # ASCII letters
+            ids = self._plain(word.decode())
+        elif word[-1] in _MARKS and word[-2:-1].isalnum():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            text = word.decode()
+            if text.isalpha() and text.islower() and max(text) < "\u0250":
+                ids = self._plain(text.translate(self.letters))
+            else:
+                ids = array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = ids
         return ids
 
+    def _plain(self, letters: str) -> bytes:
+        return array("I", [token.id for token in self.model.tokenize(letters)]).tobytes()
+
     def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        if not text:
+            return b""
+        data = text.encode()
+        return b"".join(map(self.__getitem__, (data if b"<" in data else data.lower()).split()))
 
 
 _KEPT: dict[str, WordIds] = {}
@@ -170,12 +191,12 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[pd.DataFrame,
 def _itemise(path: str, end_id: int, window: int):
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ranks, part = word_ids(path), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = ids.of(text) + end
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                data = ids.of(text.as_py()) + end
                 tokens = len(data) // 4
                 for start in range(0, tokens, window):
                     item = data[4 * start : 4 * (start + window)]
@@ -183,23 +204,22 @@ def _itemise(path: str, end_id: int, window: int):
                     sums = [zlib.crc32(item)] + ([zlib.crc32(item[4 * a : 4 * (a + size)]) for a, size in powers(n)] if n < window else [])
                     rows.append((doc_id, start, n, tokens, part, ranks[n], sums))
                     ranks[n] += 1
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "doc_tokens", "part", "k", "sums"])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), ITEM.types)], schema=ITEM)
+        ids.clear()  # idle workers hold no words
 
     return run
 
 
-def _spread(rows: list[tuple]) -> list[tuple]:
-    """(start in its item, size, which piece) of the pieces of a cut item, for each length."""
-    return [(n, i, a, size) for n in rows for i, (a, size) in enumerate(powers(n))]
+ITEM = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("k", pa.int64()), ("sums", pa.list_(pa.int64()))])
 
 
 def packed_pieces(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, end_id: int = END_ID, window: int = WINDOW) -> DataFrame:
     """One row per piece: ``<id_col>, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = checkpointed(docs.mapInPandas(
-        _itemise(path or tokenizer_path(), end_id, window),
+    items = checkpointed(docs.mapInArrow(
+        trimmed(_itemise(path or tokenizer_path(), end_id, window)),
         "doc_id long, start long, length int, doc_tokens long, part int, k long, sums array<long>"))
     tasks = items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.length: r.n for r in tasks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``window`` rows
