@@ -10,12 +10,16 @@ match; it is extended both ways by comparing the line hashes of both documents a
 diagonal.  Every line here that lies in a run of ``gram`` or more equal lines on it is
 a later repeat and is deleted; the first occurrence stays.
 
+Long passages do not depend on the windows: ``gram`` lines in a row with ``PASSAGE`` words
+or more are always selected, and a line of ``PASSAGE`` words or more is a fingerprint by itself:
+each one but its first occurrence is deleted, whatever its neighbours are.
+
 Rows carry line hashes, not text, until the deleted line numbers meet the document
 again.  First occurrences are aggregates (combined in the map task, so a line that all
 documents share is one row per task), and the joins are equi-joins that Spark can split.
 
 Edge cases: null text stays null with no lines; an empty text is one empty line;
-texts of fewer than ``gram`` lines are unchanged; a null id orders before all others; rows that
+texts of fewer than ``gram`` lines lose long lines only; a null id orders before all others; rows that
 repeat id and text are one document, reported row by row, and do not delete each
 other; a text may repeat its own lines, then the later run goes; an empty table gives an
 empty result; other columns are ignored.
@@ -30,6 +34,9 @@ from equiflow.llm.common import table
 
 GRAM = 2
 WINDOW = 2
+PASSAGE = 50
+#: A word is a run of other characters than white space; scripts without spaces count by the character.
+WORD = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[^ \t\r\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+"
 
 
 def _selected(grams: Column, window: int) -> Column:
@@ -42,19 +49,43 @@ def _selected(grams: Column, window: int) -> Column:
     return F.when(F.size(grams) > 0, F.array_distinct(F.transform(starts, least))).otherwise(F.array().cast("array<int>"))
 
 
+def _words(line: Column) -> Column:
+    """Words of a line; the pattern is only needed below ``PASSAGE`` and outside ASCII."""
+    plain = F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
+    spaced = F.size(F.array_remove(F.split(plain, " "), ""))
+    return F.when((F.octet_length(line) > F.length(line)) & (spaced < PASSAGE), F.regexp_count(line, F.lit(WORD))).otherwise(spaced)
+
+
+def _long_grams(gram: int) -> Column:
+    """Places (from 0) of ``gram`` lines with ``PASSAGE`` words or more."""
+    part = lambda k: F.slice("words", k + 1, F.size("g"))
+    total = part(0)
+    for k in range(1, gram):
+        total = F.zip_with(total, part(k), lambda a, b: a + b)
+    return F.filter(F.transform(total, lambda n, i: F.when(n >= PASSAGE, i)), lambda i: i.isNotNull())
+
+
 def _documents(df: DataFrame, text_col: str, id_col: str, gram: int) -> DataFrame:
-    """``doc, th`` (the key: id and text hash), the text's line hashes and their grams."""
+    """``doc, th`` (the key: id and text hash), the text's line hashes, the words of each line and the grams."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.split(F.col(text_col), "\n").alias("lines"))
-    rows = rows.select("doc", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"))
+    rows = rows.select("doc", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("words"))
     starts = F.sequence(F.lit(1), F.size("h") - gram + 1)
     grams = F.when(F.size("h") >= gram, F.transform(starts, lambda i: F.xxhash64(F.slice("h", i, gram)))).otherwise(F.array().cast("array<bigint>"))
     return rows.withColumn("g", grams)
 
 
+def _long_lines(docs: DataFrame) -> DataFrame:
+    """``doc, th, line``: the lines of ``PASSAGE`` words or more that are not the first of their hash."""
+    lines = docs.select("doc", "th", F.posexplode(F.arrays_zip("h", "words")).alias("line", "at")).where(F.col("at.words") >= PASSAGE).select("doc", "th", "line", F.col("at.h").alias("fp"))
+    first = lines.groupBy("fp").agg(F.min(F.struct("doc", "th", "line")).alias("first"))
+    return lines.join(first, "fp").where(~F.struct("doc", "th", "line").eqNullSafe(F.col("first"))).select("doc", "th", "line")
+
+
 def deleted_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``doc, th, gone``: of each document (id, hash of its text) that loses lines their numbers, from 0."""
     docs = _documents(df, text_col, id_col, gram)
-    marks = docs.withColumn("pos", F.explode(_selected(F.col("g"), window))).select("doc", "th", "pos", F.element_at("g", F.col("pos") + 1).alias("fp"))
+    places = F.array_union(_selected(F.col("g"), window), _long_grams(gram))
+    marks = docs.withColumn("pos", F.explode(places)).select("doc", "th", "pos", F.element_at("g", F.col("pos") + 1).alias("fp"))
     first = marks.groupBy("fp").agg(F.min(F.struct("doc", "th", "pos")).alias("first"))
     pairs = (
         marks.join(first, "fp").where(~F.struct("doc", "th", "pos").eqNullSafe(F.col("first")))
@@ -71,7 +102,7 @@ def deleted_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     runs = F.filter(F.sequence(F.lit(0), F.col("count") - gram), lambda i: F.forall(F.slice("equal", i + 1, gram), lambda x: x))
     lines = both.where(F.col("count") >= gram).select("doc", "th", "from", F.explode(runs).alias("at"))
     lines = lines.select("doc", "th", F.explode(F.sequence(F.col("from") + F.col("at"), F.col("from") + F.col("at") + gram - 1)).alias("line"))
-    return lines.groupBy("doc", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    return lines.union(_long_lines(docs)).groupBy("doc", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:

@@ -100,3 +100,19 @@ def test_long_text_and_empty_table(spark):
 def test_native_plan(spark):
     plan = L.line_dedup(spark.createDataFrame([(1, "a\nb", None, None, None)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_long_passages_between_unshared_lines_go(spark):
+    r = random.Random(5)
+    own = lambda n: [f"own {r.randrange(10**9)}" for _ in range(n)]
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    line, short, han = words(60), words(49), "".join(chr(0x4E00 + r.randrange(9000)) for _ in range(60))
+    pairs = [[words(30), words(30)] for _ in range(40)]  # two lines each, whose gram need not be the least of its window
+    rows = [(1, "\n".join([*own(3), line, *own(2), short, *own(1), han])), (2, "\n".join([*own(2), line, *own(1), short, *own(4), han, *own(1), line])), (3, line), (3, line)]
+    rows += [(k, "\n".join(x for p in pairs for x in [*own(2), *p])) for k in (4, 5)]
+    out = {}
+    for x in L.line_dedup(spark.createDataFrame([(*x, None, None, None) for x in rows], SCHEMA)).collect():
+        out.setdefault(x.doc_id, []).append(x)
+    assert [[x.n_removed for x in out[k]] for k in (1, 2, 3, 4, 5)] == [[0], [3], [1, 1], [0], [80]]
+    kept = out[2][0].text.split("\n")
+    assert line not in kept and han not in kept and short in kept and out[3][0].text == ""
