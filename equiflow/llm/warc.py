@@ -195,6 +195,11 @@ def _place(directory: list[tuple], key: str, page_id: int | None) -> int:
     return max(0, bisect.bisect_right(directory, _sortable(key, page_id)) - 1)
 
 
+def _places(directory: list[tuple], key: str, page_id: int | None) -> list[int]:
+    """Where blocks with entries equal to (key, id) are: those that begin with it, and the block before, which may end with it."""
+    return sorted({max(0, bisect.bisect_left(directory, _sortable(key, page_id)) - 1), _place(directory, key, page_id)})
+
+
 def _sortable(key: str, page_id: int | None) -> tuple:
     return key.encode(), page_id is not None, page_id or 0
 
@@ -205,11 +210,12 @@ def look_up(index: DataFrame, captures: DataFrame) -> DataFrame:
     stride = -(-blocks // DIRECTORY) or 1
     directory = sorted(_sortable(r.first_key, r.first_id) for r in index.where(F.col("seq") % stride == 0).select("first_key", "first_id").collect())
 
-    def placed(key_col: str, id_col: str):
+    def placed(key_col: str, id_col: str, places):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 ids = batch[id_col].astype("Int64").tolist()
-                yield batch.assign(place=[_place(directory, k, None if i is pd.NA else i) for k, i in zip(batch[key_col], ids)]).astype({id_col: "Int64"})
+                at = [places(directory, k, None if i is pd.NA else i) for k, i in zip(batch[key_col], ids)]
+                yield batch.assign(place=at).explode("place").astype({id_col: "Int64", "place": "int64"})
 
         return run
 
@@ -224,9 +230,9 @@ def look_up(index: DataFrame, captures: DataFrame) -> DataFrame:
             out += entries[bisect.bisect_left(keys, at) : bisect.bisect_right(keys, at)]
         return pd.DataFrame(out, columns=["key", "page_id", "file", "start", "length"]).astype({"page_id": "Int64"})
 
-    wanted = captures.select("key", "page_id").distinct().mapInPandas(placed("key", "page_id"), "key string, page_id long, place long")
-    held = index.mapInPandas(placed("first_key", "first_id"), StructType.fromDDL(index.schema.toDDL() + ", place long"))
-    # entries that equal a directory key may end the block before it
+    wanted = captures.select("key", "page_id").distinct().mapInPandas(placed("key", "page_id", _places), "key string, page_id long, place long")
+    held = index.mapInPandas(placed("first_key", "first_id", lambda *x: [_place(*x)]), StructType.fromDDL(index.schema.toDDL() + ", place long"))
+    # a block has one place, so an entry is found once
     return wanted.groupBy("place").cogroup(held.select("place", "data").groupBy("place")).applyInPandas(search, ENTRY)
 
 

@@ -74,3 +74,10 @@ def test_records_parse_and_damage_shows():
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
     assert W.op8_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_equal_entries_across_blocks_are_all_found(spark, tmp_path):
+    rows = [(i, f"http://a.example.org/{i:04}", f"<p>{i}</p>") for i in range(700)]
+    rows += [(7, "http://b.example.org/", "<p>same</p>")] * 1500 + [(None, None, "<p>none</p>")] * 1500
+    spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, W.op8_warc(spark, str(tmp_path)).collect()), key=str) == brute(rows)
