@@ -187,14 +187,14 @@ def identify(net: ByteGru, texts: list[str | None]) -> tuple[list[str], list[flo
 def fit(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "lang", per_label: int = PER_LABEL) -> ByteGru:
     """The network trained on the sample that the module's text describes."""
     text, label = F.col(text_col), F.col(label_col)
-    span = F.greatest(F.length(text) - STEPS, F.lit(0)) / (WINDOWS - 1)
+    span = F.greatest(F.length("text") - STEPS, F.lit(0)) / (WINDOWS - 1)
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.floor(i * span).cast("int") + 1))
-    rows = (
-        df.where(id_remainder(F.col(id_col), 3) != 1).where(label.isNotNull() & (label != "") & text.isNotNull())
-        .select(label.alias("label"), F.xxhash64(text).alias("h"), text.alias("text"), pieces.alias("at"))
-        .select("label", "h", F.transform("at", lambda p: F.col("text").substr(p, F.lit(STEPS))).alias("windows")))
+    rows = df.where(id_remainder(F.col(id_col), 3) != 1).where(label.isNotNull() & (label != "") & text.isNotNull()).select(label.alias("label"), F.xxhash64(text).alias("h"), text.alias("text"))
     order = Window.partitionBy("label").orderBy("h")
-    sample = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("label", "h", "windows")
+    # copies of a text are one row, so the bound holds for different texts
+    taken = rows.select("label", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("label", "h")
+    sample = rows.join(taken, ["label", "h"]).select("label", "h", F.transform(pieces, lambda p: F.col("text").substr(p, F.lit(STEPS))).alias("windows"))
+    sample = sample.groupBy("label", "h").agg(F.min("windows").alias("windows"))
     got = sorted((r.label, r.h, *r.windows) for r in sample.collect())
     samples = [(w, label) for label, _, *windows in got for w in windows if any(map(str.isalpha, w))]
     return train(samples) if samples else ByteGru([])

@@ -73,3 +73,19 @@ def test_labels_of_held_out_rows_are_never_read(spark, short_training):
     a = spark.createDataFrame(rows, SCHEMA)
     b = spark.createDataFrame([(i, t, "zz" if i in held else k, s, x) for i, t, k, s, x in rows], SCHEMA)
     assert sorted(map(tuple, L.predict_languages(a, L.fit(a)).collect())) == sorted(map(tuple, L.predict_languages(b, L.fit(b)).collect()))
+
+
+def test_copies_of_a_text_count_once_in_the_sample(spark, monkeypatch):
+    rows = [r for r in corpus(300) if r[2] and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    texts = {k: {t for _, t, x, *_ in rows if x == k} for k in WORDS}
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, SCHEMA)
+    least = df.where("lang = 'aa'").orderBy(F.xxhash64("text")).first().text  # sorts first, so its copies would fill the sample
+    ids = [i for i in range(1000, 5000) if zlib.crc32(str(i).encode()) % 3 != 1][: len(rows)]
+    df = df.union(spark.createDataFrame([(i, least, "aa", None, None) for i in ids], SCHEMA)).repartition(4)
+    seen = []
+    monkeypatch.setattr(L, "train", lambda samples: seen.extend(samples) or L.ByteGru([]))
+    L.fit(df, per_label=20)
+    starts = {k: {t[: L.STEPS] for t in texts[k]} & {w for w, x in seen if x == k} for k in WORDS}
+    assert all(len(starts[k]) == 20 for k in WORDS)
