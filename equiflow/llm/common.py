@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``shared_folder`` named and that no later job reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def trimmed(run):
     """``run`` (batches in, batches out) that hands the memory it freed back to the system when its task ends.
 
