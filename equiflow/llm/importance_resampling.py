@@ -74,7 +74,8 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     h = P5 + lens.astype(_U)
     at = np.flatnonzero((lens >= 32) & (lens <= LONG))
     if len(at):
-            stripes = lens[at] // 32
+        acc = [np.full(len(at), _U(v % 2**64)) for v in (int(P1) + int(P2), int(P2), 0, -int(P1))]
+        stripes = lens[at] // 32
         for s in range(int(stripes.max())):
             on = np.flatnonzero(stripes > s)
             first = starts[at[on]] + 32 * s
