@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from equiflow.llm import (
-    decontamination, exact_dedup, importance_resampling, jaccard_join, language_id, line_dedup, lm_scoring, packing, secret_scan, token_counts, warc, whitening)
+    decontamination, exact_dedup, importance_resampling, jaccard_join, language_id, line_dedup, lm_scoring, near_vectors, packing, secret_scan, token_counts, warc, whitening)
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_whitening": whitening.op11_whitening,
         "op12_importance_resampling": importance_resampling.op12_importance_resampling,
+        "op13_near_vectors": near_vectors.op13_near_vectors,
     }
 
 
