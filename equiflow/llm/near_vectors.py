@@ -60,11 +60,16 @@ def classes(df: DataFrame, vec_col: str, id_col: str) -> tuple[DataFrame, DataFr
     known.write.parquet(folder)
     known = spark.read.schema(known.schema).parquet(folder)
     usual = known.groupBy(F.size("v").alias("d")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
-    top = F.array_max(F.transform("v", F.abs))
-    scaled = F.transform("v", lambda c: c / top)  # no square overflows
-    unit = known.withColumn("s", scaled).withColumn("norm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, c: a + c * c))).select(
-        "node", "n", F.transform("s", lambda c: c / F.col("norm")).alias("unit"))
-    unit = unit.where(F.size("unit") == (usual["d"] if usual else 0))
+    d = usual["d"] if usual else 0
+
+    def scaled(batches):
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy().reshape(-1, d)
+            v = v / np.abs(v).max(axis=1, keepdims=True)  # no square overflows
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), d).cast(pa.list_(pa.float64()))], names=["node", "n", "unit"])
+
+    unit = known.where(F.size("v") == d).mapInArrow(scaled, "node long, n long, unit array<double>")
     placed = rows.join(known.select("v", "node", "n"), "v", "left").select("id", "node", "n")
     return placed, unit
 
