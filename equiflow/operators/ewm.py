@@ -67,26 +67,39 @@ def ewm_frame(df: DataFrame, specs: dict[str, tuple[Column, float, bool, int]],
     ends = df.where(~F.col("_halo")).groupBy(key, "_blk", "_sub").agg(*[
         (F.sum(_weighted(x, alpha, adjust, B)) * F.lit((1.0 - alpha) ** (B - 1))).alias(name)
         for name, (x, alpha, adjust, _mp) in specs.items()])
-    order = Window.partitionBy(key).orderBy("_sub")
-    carried = ends.select(key, "_blk", "_sub", F.struct(*[
-        sum((F.coalesce(F.lag(name, m).over(order), F.lit(0.0)) * F.lit(((1.0 - alpha) ** B) ** (m - 1)) for m in range(1, CHAIN + 1)),
-            F.lit(0.0)).alias(name)
+    # the older sub-blocks, oldest first: each weakens all before it by q^B
+    older = Window.partitionBy(key).orderBy("_sub").rowsBetween(-CHAIN, -1)
+    carried = ends.withColumn("_old", F.collect_list(F.struct(*specs)).over(older)).select(key, "_blk", "_sub", F.struct(*[
+        F.expr(f"aggregate(_old, 0D, (c, e) -> c * {(1.0 - alpha) ** B!r}D + e.`{name}`)").alias(name)
         for name, (_x, alpha, _adjust, _mp) in specs.items()]).alias("_c"))
     # the last sub-block of a block is also the halo of the next one
     per_block = F.lit(block_rows // B)
     carried = carried.withColumn("_to", F.explode(F.when(
         F.col("_sub") % per_block == per_block - 1, F.array("_blk", F.col("_blk") + 1)).otherwise(F.array("_blk"))))
     by_block = carried.groupBy(F.col(key).alias("_k"), "_to").agg(F.map_from_entries(F.collect_list(F.struct("_sub", "_c"))).alias("_carry"))
-    df = df.join(by_block, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_blk") == F.col("_to")), "left")
+    # running sums first: the join then finds the rows as they were dealt and sorted for them
     sub = Window.partitionBy(key, "_blk", "_sub").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_s_{name}": F.sum(_weighted(x, alpha, adjust, B)).over(sub) for name, (x, alpha, adjust, _mp) in specs.items()})
+    df = df.join(by_block, (F.col(key) == F.col("_k")) & (F.col("_blk") == F.col("_to")), "left")
     out = {}
-    for name, (x, alpha, adjust, mp) in specs.items():
+    for name, (_x, alpha, adjust, mp) in specs.items():
         q = F.lit(1.0 - alpha)
-        s = F.pow(q, r) * F.sum(_weighted(x, alpha, adjust, B)).over(sub)
-        y = s + F.coalesce(F.try_element_at("_carry", F.col("_sub"))[name], F.lit(0.0)) * F.pow(q, r + 1)
+        y = F.pow(q, r) * F.col(f"_s_{name}") + F.coalesce(F.try_element_at("_carry", F.col("_sub"))[name], F.lit(0.0)) * F.pow(q, r + 1)
         if adjust:
             y = y * F.lit(alpha) / (F.lit(1.0) - F.pow(q, F.col("i") + 1))
         if mp > 1:
             y = F.when(F.col("i") >= mp - 1, y)
         out[name] = y
-    return df.withColumns(out).drop("_k", "_to", "_carry", "_sub")
+    return df.withColumns(out).drop("_k", "_to", "_carry", "_sub", *[f"_s_{name}" for name in specs])
+
+
+def ema_of_ema(outer_of_x: Column, inner: Column, outer_alpha: float, inner_alpha: float) -> Column:
+    """The EMA at ``outer_alpha`` of ``inner``, which is x's EMA at ``inner_alpha``; ``outer_of_x`` is x's own EMA at ``outer_alpha``.
+
+    All are recursive and seeded with their first value, which is a constant history: then the two filters in a
+    row are a weighted difference of the two alone (partial fractions), row by row.
+    """
+    p, q = 1.0 - outer_alpha, 1.0 - inner_alpha
+    if p == q:
+        raise ValueError("equal rates have no such form")
+    return outer_of_x * F.lit(inner_alpha * p / (p - q)) - inner * F.lit(outer_alpha * q / (p - q))

@@ -15,7 +15,8 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiflow.operators.series import order_bucket, series_index
+from equiflow.operators.numbering import numbered
+from equiflow.operators.series import order_bucket
 from equiflow.sources.tables import shared
 
 # Line breaks of Python ``str.splitlines`` and the pipe-row ticker pattern.
@@ -144,14 +145,13 @@ def sample_n(df: DataFrame, n: int, key: str, seed: str = "42") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), F.col(key)).limit(n)
 
 
-def with_row_id(df: DataFrame, order: str, out: str = "row_id") -> DataFrame:
-    """Dense 0-based row number over the whole frame, NULLs first; ``order`` may be a number, date, time or text.
+def with_row_id(df: DataFrame, order: str | list[str], out: str = "row_id") -> DataFrame:
+    """Dense 0-based row number over the whole frame in the order of one or more columns, NULLs first.
 
-    Rows are counted per order-keeping bucket of ``order`` (partial aggregate) and numbered
-    inside their bucket; only the bucket totals, a bounded table, meet in one place.
+    Rows are numbered inside sorted ranges of sampled borders (``numbering.numbered``): as even for text, dates of
+    one year or huge ids as for small numbers.  Where the columns leave ties, name one that breaks them.
     """
-    keyed = df.withColumn("_one", F.lit(1))
-    return series_index(keyed, "_one", order, order_bucket(df, order), out).drop("_one")
+    return numbered(df, [F.asc_nulls_first(c) for c in ([order] if isinstance(order, str) else order)], out)
 
 
 def rank_columns_by_total(df: DataFrame, cols: list[str]) -> DataFrame:

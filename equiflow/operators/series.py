@@ -18,7 +18,8 @@ does not survive a ticker holding a third of all rows.  Instead:
 3. ``drop_halo``: keep each row once, in its own block.
 
 Rows with a NULL position column cannot be placed; callers split them off first
-(``technical.quarantine``), ``series_index`` itself numbers them before all others.
+(``technical.quarantine``), ``series_index`` itself numbers them before all others.  A NULL key is no series: its
+rows have no position.
 """
 
 from __future__ import annotations
@@ -50,14 +51,14 @@ def order_bucket(df: DataFrame, col: str) -> Column:
 def series_index(df: DataFrame, key: str = "ticker", order: str = "dt", bucket: Column | None = None,
                  out: str = "i") -> DataFrame:
     """Add the 0-based position ``out`` of each row in its key's series ordered by ``order``."""
-    bucket = F.trunc(F.col(order), "month") if bucket is None else bucket
+    bucket = F.coalesce(F.trunc(F.col(order), "month"), F.lit("0001-01-01").cast("date")) if bucket is None else bucket
     b = shared(df.withColumn("_bucket", bucket))  # read once for the counts and the rows
     counts = b.groupBy(key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_bucket", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     rn = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(order))
     offsets = offsets.withColumnsRenamed({key: "_k", "_bucket": "_b"})
-    same = F.col(key).eqNullSafe(F.col("_k")) & F.col("_bucket").eqNullSafe(F.col("_b"))
+    same = (F.col(key) == F.col("_k")) & (F.col("_bucket") == F.col("_b"))  # plain equality: the window needs no further deal
     return (b.join(offsets, same, "left")
             .withColumn(out, (F.col("_off") + rn - 1).cast("long"))
             .drop("_bucket", "_off", "_k", "_b"))

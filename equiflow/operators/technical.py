@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiflow.operators.ewm import alpha_from, ewm_frame, sub_block_rows
+from equiflow.operators.ewm import alpha_from, ema_of_ema, ewm_frame, sub_block_rows
 from equiflow.operators.series import block_window, drop_halo, series_index, with_blocks
 from equiflow.sources.tables import shared
 
@@ -88,15 +88,23 @@ def rsi(b: DataFrame, n: int = RSI_PERIOD, col: str = "close", key: str = "ticke
     return b.withColumn("rsi", _rsi_value())
 
 
+def _macd_means(fast: int, slow: int, signal: int, col: str) -> dict:
+    return {name: (F.col(col), alpha_from(span=span), False, 0) for name, span in (("ema_fast", fast), ("ema_slow", slow), ("_ema_signal", signal))}
+
+
+def _macd_columns(b: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
+    """W08-W10 from the three EMAs of the close: the signal line, an EMA of their difference, follows from them row by row."""
+    f, s, g = (alpha_from(span=n) for n in (fast, slow, signal))
+    own = F.col("_ema_signal")
+    line = settled(ema_of_ema(own, F.col("ema_fast"), g, f) - ema_of_ema(own, F.col("ema_slow"), g, s), F.col("ema_slow"))
+    b = b.withColumns({"macd": settled(F.col("ema_fast") - F.col("ema_slow"), F.col("ema_slow")), "macd_signal": line})
+    return b.withColumn("macd_hist", settled(F.col("macd") - F.col("macd_signal"), F.col("ema_slow"))).drop("_ema_signal")
+
+
 def macd(b: DataFrame, fast: int = MACD_FAST, slow: int = MACD_SLOW, signal: int = MACD_SIGNAL,
          col: str = "close", key: str = "ticker", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Recursive EMAs, MACD line, signal line and histogram."""
-    b = ewm_frame(b, {"ema_fast": (F.col(col), alpha_from(span=fast), False, 0),
-                      "ema_slow": (F.col(col), alpha_from(span=slow), False, 0)}, EWM_ROWS, block_rows, key=key)
-    b = b.withColumn("macd", settled(F.col("ema_fast") - F.col("ema_slow"), F.col("ema_slow")))
-    b = ewm_frame(b, {"macd_signal": (F.col("macd"), alpha_from(span=signal), False, 0)},
-                  EWM_ROWS, block_rows, key=key)
-    return b.withColumn("macd_hist", settled(F.col("macd") - F.col("macd_signal"), F.col("ema_slow")))
+    """Recursive EMAs, MACD line, signal line and histogram, all from one pass of sums."""
+    return _macd_columns(ewm_frame(b, _macd_means(fast, slow, signal, col), EWM_ROWS, block_rows, key=key), fast, slow, signal)
 
 
 def settled(difference: Column, scale: Column) -> Column:
@@ -105,29 +113,30 @@ def settled(difference: Column, scale: Column) -> Column:
 
 
 def indicators(b: DataFrame, key: str = "ticker", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """W01-W10 on a blocked frame; all first-stage EWMs share one window pass."""
+    """W01-W10 on a blocked frame; all EWMs share one pass of sums and one table of carried ones."""
     for n in SMA_WINDOWS:
         b = sma(b, n, key=key)
     b = gain_loss(delta(b, key=key))
     a_rsi = alpha_from(com=RSI_PERIOD - 1)
+    spans = (MACD_FAST, MACD_SLOW, MACD_SIGNAL)
     b = ewm_frame(b, {
         "avg_gain": (F.col("gain"), a_rsi, True, RSI_PERIOD),
         "avg_loss": (F.col("loss"), a_rsi, True, RSI_PERIOD),
-        "ema_fast": (F.col("close"), alpha_from(span=MACD_FAST), False, 0),
-        "ema_slow": (F.col("close"), alpha_from(span=MACD_SLOW), False, 0),
+        **_macd_means(*spans, "close"),
     }, EWM_ROWS, block_rows, key=key)
-    b = b.withColumns({"rsi": _rsi_value(), "macd": settled(F.col("ema_fast") - F.col("ema_slow"), F.col("ema_slow"))})
-    b = ewm_frame(b, {"macd_signal": (F.col("macd"), alpha_from(span=MACD_SIGNAL), False, 0)},
-                  EWM_ROWS, block_rows, key=key)
-    return b.withColumn("macd_hist", settled(F.col("macd") - F.col("macd_signal"), F.col("ema_slow")))
+    return _macd_columns(b.withColumn("rsi", _rsi_value()), *spans)
 
 
 INDICATOR_COLUMNS = ("sma_20", "sma_50", "rsi", "macd", "macd_signal", "macd_hist")
 
 
 def drop_incomplete(df: DataFrame, cols: tuple[str, ...] | list[str]) -> DataFrame:
-    """Drop a row when any of ``cols`` is NULL."""
-    return df.na.drop("any", subset=list(cols))
+    """Drop a row when any of ``cols`` is NULL.
+
+    The row id keeps the test above the projection that makes the columns; else each would be computed again inside the filter.
+    """
+    kept = df.withColumn("_row", F.monotonically_increasing_id()).where(F.expr(f"_row >= 0 AND {' AND '.join(f'`{c}` IS NOT NULL AND NOT isnan(`{c}`)' if t in ('double', 'float') else f'`{c}` IS NOT NULL' for c, t in df.dtypes if c in cols)}"))
+    return kept.drop("_row")
 
 
 def technical_indicators(prices: DataFrame, key: str = "ticker", dropna: bool = True,

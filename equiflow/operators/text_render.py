@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from equiflow.operators.quantiles import exact_quantiles
+
 NOT_PROVIDED = "NOT PROVIDED"
 
 
@@ -140,20 +142,17 @@ def explode_bullets(df: DataFrame, keys: list[str], max_bullets: int | None = No
 
 # ---- A09: numeric profile ----
 
-QUANTILE_ACCURACY = 400_000
+PROFILE_QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """count, mean, stddev, min, quartiles and max per column: one aggregate row (combined in the map tasks), then ``stack``.
+    """count, mean, stddev, min, quartiles and max per column, one row each.
 
-    Quartiles are elements of the column, exact up to half of ``QUANTILE_ACCURACY`` rows and beyond
-    that off by at most one rank in as many; the sketch's size does not grow with the rows.
+    Quartiles are the elements of rank ceil(p * count), found by counting (``quantiles.exact_quantiles``).  Runs
+    its passes while the query is built; the driver holds the figures of each column.
     """
-    aggs, parts = [], []
-    for n, c in enumerate(cols):
-        v = F.col(c).cast("double")
-        names = [f"_{n}_{k}" for k in ("count", "mean", "stddev", "min", "q", "max")]
-        aggs += [x.alias(a) for x, a in zip((F.count(v), F.avg(v), F.stddev_samp(v), F.min(v), F.percentile_approx(v, [0.25, 0.5, 0.75], QUANTILE_ACCURACY), F.max(v)), names)]
-        parts.append(F.struct(F.lit(c).alias("column"), *[F.col(a).alias(k) for a, k in zip(names, ("count", "mean", "stddev", "min", "q", "max"))]))
-    one = df.agg(*aggs).select(F.explode(F.array(*parts)).alias("p")).select("p.*")
-    return one.select("column", "count", "mean", "stddev", "min", *[F.get("q", F.lit(i)).alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
+    kinds = {"count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{k}") for n, c in enumerate(cols) for k, f in kinds.items()]).first()
+    quartiles = exact_quantiles(df, cols, list(PROFILE_QUARTILES.values()), {c: one[f"{n}_count"] for n, c in enumerate(cols)})
+    rows = [(c, *[one[f"{n}_{k}"] for k in ("count", "mean", "stddev", "min")], *quartiles[c], one[f"{n}_max"]) for n, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, count long, mean double, stddev double, min double, p25 double, p50 double, p75 double, max double")

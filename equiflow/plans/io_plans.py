@@ -15,6 +15,8 @@ from equiflow.sources import sinks as K
 from equiflow.sources.tables import table
 from equiflow.streaming import chunks as G
 
+#: Lines of the chunk fixtures that are cut off.
+_CUT = "request_id % 10 = 3 AND seq = 1"
 METRICS = ["Total_Revenue", "Pretax_Income", "Total_Assets", "Total_Debt", "Operating_Cash_Flow"]
 
 
@@ -96,16 +98,54 @@ def q_chunk_assembly(spark, sf):
 
 
 def q_event_sessions(spark, sf):
-    """G01 over the whole table: sessions of 30 minutes per user, the function that the stream runs (tests hold both together)."""
-    return G.session_chunks(table(spark, sf, "events"), key="user_id", ts="ts", seq="event_id", text="event_type")
-
-
-def _chunk_lines(spark, sf) -> DataFrame:
-    """Reply chunks as JSON lines; every tenth conversation's second line is cut off."""
+    """G01 over the whole table as a bounded stream in complete mode: sessions of 30 minutes per user."""
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    top = scratch_folder(spark, "event-stream")
+    events.write.parquet(f"{top}/src")
+    return G.run_session_stream(spark, f"{top}/src", events.schema, f"{top}/out", f"{top}/checkpoint", key="user_id", ts="ts", seq="event_id", text="event_type", mode="complete")
+
+
+def _stream(spark, sf) -> tuple[DataFrame, G.StreamCounts]:
+    """``conversations`` as JSON lines in two waves, read by two runs over one checkpoint.
+
+    A chunk's time is a minute per request and a second per ``seq``.  The first wave holds the requests up to the middle
+    one.  The second holds the others, the first wave's last five minutes once more, a late line for each good line more
+    than twenty minutes old, and a line without request that closes the sessions.
+    """
+    chunks = fx.chunks(spark, sf)
+    middle = chunks.agg(F.floor((F.min("request_id") + F.max("request_id")) / 2)).first()[0]
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("request_id") * 60 + F.col("seq"))
+    rows = _chunk_lines(spark, sf, at).withColumn("at", at)
+    first, second = rows.where(F.col("request_id") <= F.lit(middle)), rows.where(~(F.col("request_id") <= F.lit(middle)))
+    good = first.where(f"NOT ({_CUT})")
+    last = F.lit(first.agg(F.max("at")).first()[0])
+    again = good.where(F.col("at") >= last - F.expr("INTERVAL 5 MINUTES"))
+    late = good.where(F.col("at") < last - F.expr("INTERVAL 20 MINUTES")).withColumn("line", F.regexp_replace("line", '"seq":(\\d+)', '"seq":1000$1'))
+    end = spark.range(1).select(F.lit('{"seq":0,"ts":"2100-01-01 00:00:00"}').alias("line"))
+    top, counts = scratch_folder(spark, "chunk-stream"), G.StreamCounts()
+    for wave in ([first], [second, again, late, end]):
+        for part in wave:
+            part.select("line").write.mode("append").text(f"{top}/src")
+        out = G.run_line_stream(spark, f"{top}/src", "request_id BIGINT, seq BIGINT, ts STRING, response STRING", f"{top}/out", f"{top}/checkpoint",
+                                key="request_id", ts="ts", seq="seq", text="response", gap="5 minutes", watermark="10 minutes", sep="", counts=counts)
+    return out, counts
+
+
+def q_chunk_stream(spark, sf):
+    return _stream(spark, sf)[0]
+
+
+def q_chunk_stream_counts(spark, sf):
+    """What the stream read and left out, one row per figure."""
+    counts = _stream(spark, sf)[1]
+    return spark.createDataFrame([(k, getattr(counts, k)) for k in ("lines", "rejects", "duplicates", "late")], "figure string, n long")
+
+
+def _chunk_lines(spark, sf, at=None) -> DataFrame:
+    """Reply chunks as JSON lines; every tenth conversation's second line is cut off.  With ``at`` the line has keys and time."""
     c = fx.chunks(spark, sf)
-    line = F.to_json(F.struct(F.col("response")))
-    cut = (F.col("request_id") % 10 == 3) & (F.col("seq") == 1)
-    return c.select("request_id", "seq", F.when(cut, F.lit('{"response": "cut')).otherwise(line).alias("line"))
+    line = F.to_json(F.struct("response") if at is None else F.struct("request_id", "seq", at.cast("string").alias("ts"), "response"))
+    return c.select("request_id", "seq", F.when(F.expr(_CUT), F.lit('{"response": "cut')).otherwise(line).alias("line"))
 
 
 def q_chunk_decode(spark, sf):
@@ -132,6 +172,8 @@ QUERIES = {
     "text_json_sink": q_text_json_sink,
     "chunk_assembly": q_chunk_assembly,
     "event_sessions": q_event_sessions,
+    "chunk_stream": q_chunk_stream,
+    "chunk_stream_counts": q_chunk_stream_counts,
     "chunk_decode": q_chunk_decode,
     "chunk_rejects": q_chunk_rejects,
 }
@@ -144,6 +186,7 @@ _NORM = """nm AS (SELECT ticker, statement, dt,
 _PIV = "pv AS (SELECT ticker, dt, " + ", ".join(
     f"MAX(CASE WHEN metric = '{m}' THEN value END) AS \"{m}\"" for m in METRICS) + " FROM nm GROUP BY ticker, dt)"
 _ST = ["v_statements"]
+_AT = "tm AS (SELECT *, make_timestamp(1704067200000000 + (request_id * 60 + seq) * 1000000) AS ts FROM v_chunks)"
 
 
 def _oracle() -> dict[str, str]:
@@ -175,7 +218,8 @@ SELECT 'summary' AS "table", ticker, metric AS field, value FROM ({VO["dcf_summa
 """ + "".join(f"""UNION ALL SELECT 'yearly', ticker, '{c}_' || step, CAST({c} AS DOUBLE) FROM ({VO["dcf_yearly"]}) y
 """ for c in ("year", "ebit", "fcf", "discounted_fcf")),
         "chunk_decode": with_fixtures(["v_chunks"], body="""
-SELECT request_id, COUNT(*) AS n_chunks, string_agg(response, '' ORDER BY seq) AS text
+SELECT request_id, COUNT(*) AS n_chunks, MAX(seq) - MIN(seq) + 1 - COUNT(DISTINCT seq) AS n_missing, COUNT(*) - COUNT(DISTINCT seq) AS n_repeated,
+  string_agg(response, '' ORDER BY seq) AS text
 FROM v_chunks WHERE NOT (request_id % 10 = 3 AND seq = 1) GROUP BY request_id"""),
         "chunk_rejects": with_fixtures(["v_chunks"], body="""
 SELECT request_id, seq, '{"response": "cut' AS line FROM v_chunks WHERE request_id % 10 = 3 AND seq = 1"""),
@@ -183,8 +227,21 @@ SELECT request_id, seq, '{"response": "cut' AS line FROM v_chunks WHERE request_
 SELECT ticker, step, year, ROUND(fcf, 2) AS fcf, ROUND(discounted_fcf, 2) AS discounted_fcf FROM yr""",
         "text_json_sink": "SELECT request AS reply FROM (" + req + ") r",
         "chunk_assembly": with_fixtures(["v_chunks"], body="""
-SELECT request_id, COUNT(*) AS n_chunks, string_agg(response, '' ORDER BY seq) AS text
+SELECT request_id, COUNT(*) AS n_chunks, MAX(seq) - MIN(seq) + 1 - COUNT(DISTINCT seq) AS n_missing, COUNT(*) - COUNT(DISTINCT seq) AS n_repeated,
+  string_agg(response, '' ORDER BY seq) AS text
 FROM v_chunks GROUP BY request_id"""),
+        "chunk_stream": with_fixtures(["v_chunks"], _AT, body=f"""
+SELECT request_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL 5 MINUTE AS session_end, COUNT(*) AS n, string_agg(response, '' ORDER BY seq) AS text
+FROM tm WHERE NOT ({_CUT}) GROUP BY request_id"""),
+        "chunk_stream_counts": with_fixtures(["v_chunks"], _AT, """first AS (
+SELECT * FROM tm WHERE request_id <= (SELECT FLOOR((MIN(request_id) + MAX(request_id)) / 2) FROM tm))""", f"""good AS (
+SELECT *, (SELECT MAX(ts) FROM first) AS last FROM first WHERE NOT ({_CUT}))""", """again AS (
+SELECT COUNT(*) AS n FROM good WHERE ts >= last - INTERVAL 5 MINUTE)""", """late AS (
+SELECT COUNT(*) AS n FROM good WHERE ts < last - INTERVAL 20 MINUTE)""", body=f"""
+SELECT 'lines' AS figure, (SELECT COUNT(*) FROM tm) + (SELECT n FROM again) + (SELECT n FROM late) + 1 AS n
+UNION ALL SELECT 'rejects', COUNT(*) FROM tm WHERE {_CUT}
+UNION ALL SELECT 'duplicates', n FROM again
+UNION ALL SELECT 'late', n FROM late"""),
         "event_sessions": """
 WITH s AS (SELECT *, CASE WHEN LAG(ts) OVER w IS NULL OR ts - LAG(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equiflow.operators import screening as S
 from equiflow.plans.fixture_sql import with_fixtures
 from equiflow.sources import fixtures as fx
+from equiflow.sources.tables import table
 
 FACTORS = ["ethics_score", "volatility_score", "growth_score"]
 TOTAL_COLUMNS = ["total_revenue", "gross_profit", "operating_income", "ebitda", "total_assets",
@@ -59,6 +60,17 @@ def q_with_row_id(spark, sf):
     return S.with_row_id(fx.info(spark, sf).select("ticker", "name"), "ticker")
 
 
+def q_lineitem_row_id(spark, sf):
+    """P02 over a large table, by two columns; the other columns are ties' last resort."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return S.with_row_id(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+
+
+def q_supplier_row_id(spark, sf):
+    """P02 by a text column."""
+    return S.with_row_id(table(spark, sf, "supplier").select("s_name", "s_suppkey"), ["s_name", "s_suppkey"])
+
+
 def q_describe_ticker(spark, sf):
     """Every ticker's info row as ``field value`` rows (``df.loc[t]`` for all t)."""
     i = fx.info(spark, sf)
@@ -107,6 +119,8 @@ QUERIES = {
     "keep_members": q_keep_members,
     "sector_screen": q_sector_screen,
     "with_row_id": q_with_row_id,
+    "lineitem_row_id": q_lineitem_row_id,
+    "supplier_row_id": q_supplier_row_id,
     "describe_ticker": q_describe_ticker,
     "first_n": q_first_n,
     "repeatable_sample": q_repeatable_sample,
@@ -152,6 +166,10 @@ SELECT request_id, rank, symbol, name FROM tv JOIN v_universe USING (symbol) WHE
     "sector_screen": with_fixtures(["v_info"], body="SELECT ticker, name FROM v_info WHERE sector = 'ASIA'"),
     "with_row_id": with_fixtures(["v_info"], body="""
 SELECT ticker, name, ROW_NUMBER() OVER (ORDER BY ticker) - 1 AS row_id FROM v_info"""),
+    "lineitem_row_id": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+  ROW_NUMBER() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS row_id FROM lineitem""",
+    "supplier_row_id": "SELECT s_name, s_suppkey, ROW_NUMBER() OVER (ORDER BY s_name, s_suppkey) - 1 AS row_id FROM supplier",
     "describe_ticker": with_fixtures(["v_info"], body="""
 SELECT ticker, 'name' AS field, name AS value FROM v_info
 UNION ALL SELECT ticker, 'sector', sector FROM v_info

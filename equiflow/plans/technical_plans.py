@@ -15,8 +15,8 @@ def _r(c: str, d: int = 6, alias: str | None = None):
     return F.round(F.col(c), d).alias(alias or c)
 
 
-def _blocked(spark: SparkSession, sf: str) -> DataFrame:
-    return T.blocked_prices(fx.prices(spark, sf))
+def _blocked(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
+    return T.blocked_prices(fx.prices(spark, sf).select("ticker", "dt", *cols))
 
 
 def q_trailing_year_prices(spark, sf):
@@ -24,48 +24,48 @@ def q_trailing_year_prices(spark, sf):
 
 
 def q_sma(spark, sf):
-    b = T.sma(T.sma(_blocked(spark, sf), 20), 50)
+    b = T.sma(T.sma(_blocked(spark, sf, "close"), 20), 50)
     return drop_halo(b).select("ticker", "dt", "close", _r("sma_20"), _r("sma_50"))
 
 
 def q_rsi(spark, sf):
-    b = T.rsi(_blocked(spark, sf))
+    b = T.rsi(_blocked(spark, sf, "close"))
     return drop_halo(b).select("ticker", "dt", "gain", "loss", _r("avg_gain"), _r("avg_loss"), _r("rsi"))
 
 
 def q_macd(spark, sf):
-    b = T.macd(_blocked(spark, sf))
+    b = T.macd(_blocked(spark, sf, "close"))
     return drop_halo(b).select("ticker", "dt", _r("ema_fast", alias="ema_12"), _r("ema_slow", alias="ema_26"),
                                _r("macd"), _r("macd_signal"), _r("macd_hist"))
 
 
 def q_technical_indicators(spark, sf):
-    t = T.technical_indicators(fx.prices(spark, sf))
+    t = T.technical_indicators(fx.prices(spark, sf).select("ticker", "dt", "close"))
     return t.select("ticker", "dt", "close", *[_r(c) for c in T.INDICATOR_COLUMNS])
 
 
 def q_trend_signal(spark, sf):
-    b = T.trend_signal(T.sma(T.sma(_blocked(spark, sf), 20), 50))
+    b = T.trend_signal(T.sma(T.sma(_blocked(spark, sf, "close"), 20), 50))
     return drop_halo(b).select("ticker", "dt", "trend", "ma_cross")
 
 
 def q_rsi_zone(spark, sf):
-    b = T.rsi_zone(T.rsi(_blocked(spark, sf)))
+    b = T.rsi_zone(T.rsi(_blocked(spark, sf, "close")))
     return drop_halo(b).select("ticker", "dt", _r("rsi"), "rsi_zone")
 
 
 def q_macd_cross(spark, sf):
-    b = T.macd_signal(T.macd(_blocked(spark, sf)))
+    b = T.macd_signal(T.macd(_blocked(spark, sf, "close")))
     return drop_halo(b).select("ticker", "dt", "macd_cross", "hist_direction")
 
 
 def q_levels(spark, sf):
-    b = T.levels(_blocked(spark, sf), 20)
+    b = T.levels(_blocked(spark, sf, "close", "high", "low"), 20)
     return drop_halo(b).select("ticker", "dt", "support", "resistance")
 
 
 def q_price_action(spark, sf):
-    b = T.price_action(T.indicators(_blocked(spark, sf)))
+    b = T.price_action(T.indicators(_blocked(spark, sf, "close")))
     return drop_halo(b).select("ticker", "dt", "bias_score", "bias")
 
 

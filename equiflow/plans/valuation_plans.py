@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiflow.functions.safe import div
+from equiflow.operators.asof import asof_join
 from equiflow.operators import periods as P
 from equiflow.operators import valuation as V
 from equiflow.operators.fundamentals import fundamentals
@@ -28,6 +29,12 @@ def fund(spark: SparkSession, sf: str) -> DataFrame:
     return fundamentals(fx.income(spark, sf, b), fx.balance(spark, sf, b), fx.cashflow(spark, sf, b))
 
 
+def q_asof_fundamentals(spark, sf):
+    """Every price row with the newest statement of its ticker at or before its date."""
+    values = ["total_revenue", "ebit", "total_debt"]
+    return asof_join(fx.prices(spark, sf).select("ticker", "dt", "close"), fund(spark, sf).select("ticker", "dt", *values), values=values, right_time="statement_dt")
+
+
 def q_latest_period(spark, sf):
     return P.latest(fund(spark, sf)).select("ticker", "dt", "total_revenue", "total_debt", "ebitda")
 
@@ -192,6 +199,7 @@ def q_valuation_label(spark, sf):
 
 
 QUERIES = {
+    "asof_fundamentals": q_asof_fundamentals,
     "latest_period": q_latest_period,
     "last_n_periods": q_last_n_periods,
     "first_of_last_4": q_first_of_last_4,
@@ -305,6 +313,9 @@ _TABLE_SQL = "SELECT ticker, metric, " + ", ".join(
     f"ROUND(MAX(CASE WHEN step = {k} THEN value END), 4) AS y{k}" for k in range(1, 6))
 
 ORACLE = {
+    "asof_fundamentals": with_fixtures(["v_prices"] + _FX, _M, _F, body="""
+SELECT p.ticker, p.dt, p.close, f.dt AS statement_dt, f.total_revenue, f.ebit, f.total_debt
+FROM v_prices p ASOF LEFT JOIN f ON p.ticker = f.ticker AND p.dt >= f.dt"""),
     "latest_period": with_fixtures(_FX, _M, _F, _RN, _LT, body="""
 SELECT ticker, dt, total_revenue, total_debt, ebitda FROM lt"""),
     "last_n_periods": with_fixtures(_FX, _M, _F, _RN, body="""SELECT ticker, dt, rn FROM fr WHERE rn <= 4"""),

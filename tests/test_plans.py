@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 QUERIES = registry.queries()
 ONE_SCAN = ["fundamental_ratios", "dcf_summary", "statement_pivot", "suffix_join", "sma", "rsi", "macd", "technical_indicators", "trailing_year_prices", "wacc", "price_action"]
 #: These write and read back, or count columns: their feature is an action.
-EAGER = {"sink_roundtrip", "csv_roundtrip", "text_json_sink", "drop_all_null_columns"}
+EAGER = {"chunk_stream", "chunk_stream_counts", "event_sessions", "table_profile", "with_row_id", "lineitem_row_id", "supplier_row_id", "positional_slice", "isolated_run", "sink_roundtrip", "csv_roundtrip", "text_json_sink", "drop_all_null_columns"}
 
 
 def final_plan(df):
