@@ -7,6 +7,7 @@ distinct metrics and the output schema does not depend on the data.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ def normalize_names(df: DataFrame) -> DataFrame:
 
 
 def pivot_statement(long: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("ticker", "dt")) -> DataFrame:
-    """Long (key, metric, value) -> one column per metric, explicit value list."""
-    return long.groupBy(*keys).pivot("metric", metrics).agg(F.first("value"))
+    """Long (key, metric, value) -> one column per metric, explicit value list; of a repeated cell the greatest value."""
+    return long.groupBy(*keys).pivot("metric", metrics).agg(F.max("value"))
 
 
 def unpivot_statement(wide: DataFrame, metrics: list[str], keys: tuple[str, ...] = ("ticker", "dt")) -> DataFrame:
@@ -97,6 +98,11 @@ def positional_slice(df: DataFrame, order: str, min_row: int, max_col: int) -> D
     return with_row_id(df, order).where(F.col("row_id") >= min_row - 1).select(*cols)
 
 
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Result frames one under the other by column name; a column that a frame lacks is NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def split_valid(df: DataFrame, rule: Column) -> tuple[DataFrame, DataFrame]:
     """Per-row failure isolation: (valid, rejects) by a predicate; bad rows never stop the job."""
     ok = F.coalesce(rule, F.lit(False))

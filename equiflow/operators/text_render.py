@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from equiflow.operators.quantiles import exact_quantiles
+from equiflow.operators.text_parse import nonempty
 
 NOT_PROVIDED = "NOT PROVIDED"
 
@@ -127,6 +128,36 @@ def to_html_rows(tables: DataFrame, keys: list[str], caption: str | None = None)
     return tables.select(*keys, F.concat(F.lit("<table>"), title, F.lit("<thead>"), row(F.col("header"), "th"), F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")).alias("html"))
 
 
+#: The line under a pipe table's header.
+TABLE_RULE = r"^\s*\|(\s*:?-+:?\s*\|)+\s*$"
+
+
+def bullet_groups(df: DataFrame, keys: list[str], row: str, text: str = "text") -> DataFrame:
+    """``keys, symbol, name, bullets``, one row per symbol of a reply's table.
+
+    ``row`` takes symbol, name and bullet out of a line after the table's rule.  A line without symbol (or name)
+    belongs to the one above: both are carried down inside the reply's array of lines, so nothing is dealt.  A symbol that
+    comes again goes on with its own bullets.  The name is that of the symbol's first line.
+    """
+    lines = df.select(*keys, F.explode(F.array(F.split(text, "\n"))).alias("_l"))
+    rule = F.array_position(F.transform("_l", lambda x: x.rlike(TABLE_RULE)), True).cast("int")
+    part = lambda x, i: F.regexp_extract(x, row, i)
+    below = lines.withColumn("_r", rule).where("_r > 0").select(*keys, F.filter(F.transform(
+        F.slice("_l", F.col("_r") + 1, F.size("_l")), lambda x: F.struct(nonempty(part(x, 1)).alias("symbol"), nonempty(part(x, 2)).alias("name"), part(x, 3).alias("bullet"))),
+        lambda r: r["bullet"] != "").alias("_rows"))
+    none, kind = F.lit(None).cast("string"), "array<struct<symbol:string,name:string,bullet:string>>"
+
+    def carry(seen, r):
+        symbol, name = F.coalesce(r["symbol"], seen["symbol"]), F.coalesce(r["name"], seen["name"])
+        return F.struct(symbol.alias("symbol"), name.alias("name"), F.concat(seen["rows"], F.array(F.struct(symbol.alias("symbol"), name.alias("name"), r["bullet"].alias("bullet")))).alias("rows"))
+
+    start = F.struct(none.alias("symbol"), none.alias("name"), F.array().cast(kind).alias("rows"))
+    full = below.select(*keys, F.explode(F.array(F.aggregate("_rows", start, carry, lambda seen: seen["rows"]))).alias("_rows"))
+    each = full.select(*keys, "_rows", F.explode(F.array_distinct(F.transform("_rows", lambda r: r["symbol"]))).alias("symbol"))
+    own = each.select(*keys, "symbol", F.filter("_rows", lambda r: r["symbol"].eqNullSafe(F.col("symbol"))).alias("_own"))
+    return own.select(*keys, "symbol", F.element_at("_own", 1)["name"].alias("name"), F.transform("_own", lambda r: r["bullet"]).alias("bullets"))
+
+
 def explode_bullets(df: DataFrame, keys: list[str], max_bullets: int | None = None) -> DataFrame:
     """(symbol, name, bullets) -> continuation rows, symbol and name only on the first; all bullets.
 

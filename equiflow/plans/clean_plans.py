@@ -83,19 +83,18 @@ def q_ordered_periods(spark, sf):
 
 
 def q_union_results(spark, sf):
-    """Results of two valuation methods, one under the other, by column name."""
-    simple = VP.q_simple_dcf(spark, sf).select("ticker", F.col("enterprise_value"), F.lit("simple").alias("method"))
-    full = VP._valuation(spark, sf).select(F.lit("full").alias("method"), "ticker", F.round("enterprise_value", 2).alias("enterprise_value"))
-    return full.unionByName(simple)
+    """Results of two valuation methods, one under the other; each has a figure that the other lacks."""
+    simple = VP.q_simple_dcf(spark, sf).select("ticker", "enterprise_value", "pv_fcf", F.lit("simple").alias("method"))
+    full = VP._valuation(spark, sf).select(F.lit("full").alias("method"), "ticker", F.round("implied_share_price", 4).alias("implied_share_price"), F.round("enterprise_value", 2).alias("enterprise_value"))
+    return C.union_all([full, simple])
 
 
 def q_union_attempts(spark, sf):
     """Votes of the first and of later attempts of each request, kept apart."""
     from equiflow.operators import screening as S
 
-    t = S.extract_tickers(fx.replies(spark, sf))
-    part = lambda where, name: t.where(where).groupBy("request_id", "symbol").agg(F.count(F.lit(1)).alias("votes")).withColumn("attempt", F.lit(name))
-    return part(F.col("reply_id") % 5 == 0, "first").unionByName(part(F.col("reply_id") % 5 != 0, "later"))
+    attempt = F.when(F.col("reply_id") % 5 == 0, "first").otherwise("later").alias("attempt")
+    return S.extract_tickers(fx.replies(spark, sf)).groupBy("request_id", "symbol", attempt).agg(F.count(F.lit(1)).alias("votes"))
 
 
 def q_price_rejects(spark, sf):
@@ -144,8 +143,9 @@ SELECT ticker, market_cap, shares_outstanding, COALESCE(market_cap > 0, FALSE) A
         "universe": with_fixtures(["v_universe"], body="SELECT * FROM v_universe"),
         "ordered_periods": with_fixtures(_FX, _M, _F, body="""
 SELECT ticker, CAST(ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dt) - 1 AS INTEGER) AS pos, dt, total_revenue FROM f WHERE total_revenue IS NOT NULL"""),
-        "union_results": f"""SELECT 'simple' AS method, ticker, enterprise_value FROM ({simple}) a
-UNION ALL SELECT 'full', ticker, value FROM ({summary}) b WHERE metric = 'Enterprise Value'""",
+        "union_results": f"""SELECT 'simple' AS method, ticker, enterprise_value, pv_fcf, CAST(NULL AS DOUBLE) AS implied_share_price FROM ({simple}) a
+UNION ALL SELECT 'full', ticker, MAX(CASE WHEN metric = 'Enterprise Value' THEN value END), NULL, MAX(CASE WHEN metric = 'Implied Share Price' THEN value END)
+FROM ({summary}) b GROUP BY ticker""",
         "union_attempts": with_fixtures(["v_replies"], _LINES, _TK, body="""
 SELECT request_id, symbol, COUNT(*) AS votes, CASE WHEN reply_id % 5 = 0 THEN 'first' ELSE 'later' END AS attempt FROM tk GROUP BY ALL"""),
         "price_rejects": with_fixtures(["v_prices"], body="""

@@ -66,25 +66,54 @@ def q_positional_slice(spark, sf):
 def q_sink_roundtrip(spark, sf):
     """The DCF summary and yearly table written as a bundle; both read back, as (table, ticker, field, value) rows."""
     from equiflow.plans.valuation_plans import q_dcf_summary, q_dcf_yearly
-    paths = K.write_bundle({"summary": q_dcf_summary(spark, sf), "yearly": q_dcf_yearly(spark, sf)},
-                           scratch_folder(spark, "bundle"))
-    summary = spark.read.parquet(paths["summary"]).select(
-        F.lit("summary").alias("table"), "ticker", F.col("metric").alias("field"), "value")
-    yearly = spark.read.parquet(paths["yearly"])
+    path = scratch_folder(spark, "bundle")
+    K.write_bundle({"summary": q_dcf_summary(spark, sf), "yearly": q_dcf_yearly(spark, sf)}, path)
+    tables = K.read_bundle(spark, path)
+    summary = tables["summary"].select(F.lit("summary").alias("table"), "ticker", F.col("metric").alias("field"), "value")
+    yearly = tables["yearly"]
     fields = ["year", "ebit", "fcf", "discounted_fcf"]
     yearly = yearly.select("ticker", "step", *[F.col(c).cast("double") for c in fields]).unpivot(["ticker", "step"], fields, "field", "value")
     return summary.union(yearly.select(F.lit("yearly"), "ticker", F.concat_ws("_", "field", "step"), "value"))
 
 
 def q_csv_roundtrip(spark, sf):
-    """K02 + S06: yearly DCF written as one CSV folder per ticker, read back with a declared schema."""
+    """K02 + S06: yearly DCF written as CSV files per ticker, read back with a declared schema."""
     from equiflow.plans.valuation_plans import q_dcf_yearly
     y = q_dcf_yearly(spark, sf).select("ticker", "step", "year", "fcf", "discounted_fcf")
     path = K.write_per_ticker(y, scratch_folder(spark, "per-ticker"))
-    back, _ = K.read_csv(spark, path, "step INT, year INT, fcf DOUBLE, discounted_fcf DOUBLE, ticker BIGINT")
+    back, _ = K.read_csv(spark, path, "ticker BIGINT, step INT, year INT, fcf DOUBLE, discounted_fcf DOUBLE")
     return back.select("ticker", "step", "year", "fcf", "discounted_fcf")
 
 
+def q_isolated_run(spark, sf):
+    """Valuation of all tickers whose inputs are sound, and for each other ticker the reason it was left out.
+
+    The income statements come from CSV files in which some cells are no numbers.
+    """
+    from equiflow.operators import isolation as I
+    from equiflow.operators import valuation as V
+    from equiflow.operators.fundamentals import fundamentals
+    from equiflow.plans import valuation_plans as VP
+
+    b = fx.base(spark, sf)
+    income, balance, cash = fx.income(spark, sf, b), fx.balance(spark, sf, b), fx.cashflow(spark, sf, b)
+    path = scratch_folder(spark, "income")
+    spoilt = F.when((F.col("ticker") % 11 == 4) & (F.year("dt") % 5 == 0), F.lit("n.a.")).otherwise(F.col("total_revenue").cast("string"))
+    income.withColumn("total_revenue", spoilt).write.option("header", True).csv(path)
+    income, corrupt = K.read_csv(spark, path, income.schema)
+    info = fx.info(spark, sf)
+    broken = I.broken_keys([
+        I.Rule("income record is not readable", corrupt, F.lit(True), "dt"),
+        I.Rule("revenue is not positive", income, F.col("total_revenue") <= 0, "dt"),
+        I.Rule("no market value", info, F.coalesce(F.col("market_cap") <= 0, F.lit(True))),
+    ])
+    sound = lambda df: I.without(df, broken)
+    fund = fundamentals(sound(income), sound(balance), sound(cash))
+    run = VP.valuation_of(fund, sound(info))
+    rows = V.dcf_summary(run, VP.SUMMARY_DIGITS).select("ticker", "metric", "value", F.lit(None).cast("string").alias("reason"), F.lit(None).cast("date").alias("first_bad"))
+    return rows.unionByName(broken.select("ticker", F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("rule").alias("reason"), F.col("first_bad").cast("date").alias("first_bad")))
+
+
 def q_text_json_sink(spark, sf):
     """K03 + K04: request texts as JSON reply records, written as text and read back."""
     from equiflow.plans.text_plans import q_render_requests
@@ -170,6 +199,7 @@ QUERIES = {
     "sink_roundtrip": q_sink_roundtrip,
     "csv_roundtrip": q_csv_roundtrip,
     "text_json_sink": q_text_json_sink,
+    "isolated_run": q_isolated_run,
     "chunk_assembly": q_chunk_assembly,
     "event_sessions": q_event_sessions,
     "chunk_stream": q_chunk_stream,
@@ -225,6 +255,13 @@ FROM v_chunks WHERE NOT (request_id % 10 = 3 AND seq = 1) GROUP BY request_id"""
 SELECT request_id, seq, '{"response": "cut' AS line FROM v_chunks WHERE request_id % 10 = 3 AND seq = 1"""),
         "csv_roundtrip": VO["dcf_yearly"].rsplit("\nSELECT", 1)[0] + """
 SELECT ticker, step, year, ROUND(fcf, 2) AS fcf, ROUND(discounted_fcf, 2) AS discounted_fcf FROM yr""",
+        "isolated_run": with_fixtures(["v_income", "v_info"], """found AS (
+SELECT ticker, 0 AS n, 'income record is not readable' AS reason, MIN(dt) AS first_bad FROM v_income WHERE ticker % 11 = 4 AND YEAR(dt) % 5 = 0 GROUP BY ticker
+UNION ALL SELECT ticker, 1, 'revenue is not positive', MIN(dt) FROM v_income WHERE total_revenue <= 0 AND NOT (ticker % 11 = 4 AND YEAR(dt) % 5 = 0) GROUP BY ticker
+UNION ALL SELECT ticker, 2, 'no market value', NULL FROM v_info WHERE COALESCE(market_cap <= 0, TRUE))""", """bad AS (
+SELECT ticker, reason, first_bad FROM found QUALIFY ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY n) = 1)""", body=f"""
+SELECT ticker, metric, value, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS DATE) AS first_bad FROM ({VO["dcf_summary"]}) s WHERE ticker NOT IN (SELECT ticker FROM bad)
+UNION ALL SELECT ticker, NULL, NULL, reason, first_bad FROM bad"""),
         "text_json_sink": "SELECT request AS reply FROM (" + req + ") r",
         "chunk_assembly": with_fixtures(["v_chunks"], body="""
 SELECT request_id, COUNT(*) AS n_chunks, MAX(seq) - MIN(seq) + 1 - COUNT(DISTINCT seq) AS n_missing, COUNT(*) - COUNT(DISTINCT seq) AS n_repeated,

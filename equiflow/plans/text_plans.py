@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiflow.operators import text_parse as TP
@@ -138,23 +138,7 @@ def q_explode_bullets(spark, sf):
 
     The table is found by its separator line; rows before it are no company rows.
     """
-    r = fx.replies(spark, sf)
-    ln = r.select("reply_id", F.split("text", "\n").alias("l"))
-    rule = F.array_position(F.transform("l", lambda x: x.rlike(r"^\s*\|(\s*:?-+:?\s*\|)+\s*$")), True).cast("int")
-    ln = ln.select("reply_id", rule.alias("rule"), F.posexplode("l").alias("ln", "line")).where((F.col("rule") > 0) & (F.col("ln") >= F.col("rule")))
-    ln = ln.select("reply_id", "ln", *[F.regexp_extract("line", ROW3, i).alias(n)
-                                       for i, n in ((1, "sym"), (2, "name"), (3, "bullet"))])
-    ln = ln.where(F.col("bullet") != "")
-    w = Window.partitionBy("reply_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    ln = ln.withColumns({
-        "symbol": F.last(TP.nonempty(F.col("sym")), ignorenulls=True).over(w),
-        "cname": F.last(TP.nonempty(F.col("name")), ignorenulls=True).over(w),
-    })
-    grouped = ln.groupBy("reply_id", "symbol").agg(
-        F.min_by("cname", "ln").alias("name"),
-        F.array_sort(F.collect_list(F.struct("ln", "bullet"))).alias("_b"))
-    grouped = grouped.withColumn("bullets", F.transform("_b", lambda x: x["bullet"]))
-    return TR.explode_bullets(grouped, ["reply_id"]).drop("more")
+    return TR.explode_bullets(TR.bullet_groups(fx.replies(spark, sf), ["reply_id"], ROW3), ["reply_id"]).drop("more")
 
 
 def q_table_profile(spark, sf):

@@ -116,15 +116,23 @@ def q_constant_forecast(spark, sf):
     return V.constant_forecast(V.driver_history(fund(spark, sf)))
 
 
-def _pipeline(spark, sf):
-    f = fund(spark, sf)
-    params = V.dcf_parameters(f, fx.info(spark, sf))
+def _run(f: DataFrame, info: DataFrame):
+    params = V.dcf_parameters(f, info)
     drivers = V.zip_drivers(V.growth_forecast(V.driver_history(f)))
     yearly = V.dcf_yearly(drivers, params, V.tax_rate(f, "latest"))
     ebitda_g = P.avg_growth(f, "ebitda")
     return f, params, yearly, ebitda_g
 
 
+def valuation_of(f: DataFrame, info: DataFrame) -> DataFrame:
+    _, params, yearly, eg = _run(f, info)
+    return V.valuation(yearly, params, eg)
+
+
+def _pipeline(spark, sf):
+    return _run(fund(spark, sf), fx.info(spark, sf))
+
+
 def q_dcf_yearly(spark, sf):
     _, _, y, _ = _pipeline(spark, sf)
     return y.select("ticker", "step", "year", _r("ebit", 2), _r("tax_rate", 9), _r("d_and_a", 2), _r("capex", 2),
@@ -132,8 +140,7 @@ def q_dcf_yearly(spark, sf):
 
 
 def _valuation(spark, sf):
-    _, params, yearly, eg = _pipeline(spark, sf)
-    return V.valuation(yearly, params, eg)
+    return valuation_of(fund(spark, sf), fx.info(spark, sf))
 
 
 def q_terminal_values(spark, sf):

@@ -134,3 +134,61 @@ def test_line_stream_restarts_and_keeps_count(spark, tmp_path):
     second = sorted((r.k, r.n, r.text) for r in run().collect())
     assert second == [(1, 2, "1.0 1.1"), (2, 2, "2.0 2.1")]
     assert (counts.rejects, counts.duplicates, counts.late) == (2, 1, 1)
+
+
+def test_bundle_versions_are_whole_or_not_there(spark, tmp_path):
+    from equiflow.sources import sinks as K
+
+    path = str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        K.read_bundle(spark, path)
+    a, b = spark.range(3), spark.range(5).withColumn("x", F.lit("y"))
+    assert K.write_bundle({"a": a, "b": b}, path) == 1
+    broken = spark.range(4).withColumn("x", F.raise_error(F.lit("second table fails")))
+    with pytest.raises(Exception, match="second table fails"):
+        K.write_bundle({"a": spark.range(9), "b": broken}, path)
+    old = K.read_bundle(spark, path)
+    assert {n: d.count() for n, d in old.items()} == {"a": 3, "b": 5}
+    assert K.write_bundle({"a": spark.range(7)}, path) == 2
+    assert {n: d.count() for n, d in K.read_bundle(spark, path).items()} == {"a": 7}
+    assert set(K.read_bundle(spark, path, 1)) == {"a", "b"}
+
+
+def test_ticker_files_have_bounded_rows(spark, tmp_path):
+    from equiflow.sources import sinks as K
+
+    df = spark.range(1000).select(F.when(F.col("id") < 900, 1).when(F.col("id") < 990, F.col("id")).cast("long").alias("ticker"), "id")
+    path = K.write_per_ticker(df, str(tmp_path / "t"), rows=100)
+    files = [f for f in (tmp_path / "t").rglob("part-*.csv")]
+    assert (tmp_path / "t" / "file=1_DCF_Analysis").is_dir() and (tmp_path / "t" / "file=null_DCF_Analysis").is_dir()
+    assert all(len(f.read_text().splitlines()) <= 101 for f in files)
+    assert len([f for f in files if f.parent.name == "file=1_DCF_Analysis"]) >= 9 and len([f for f in files if f.parent.name == "file=950_DCF_Analysis"]) == 1
+    back, bad = K.read_csv(spark, path, "ticker BIGINT, id BIGINT")
+    assert sorted(r.id for r in back.collect()) == list(range(1000)) and bad.count() == 0
+
+
+def test_one_bad_row_takes_out_its_ticker_alone(spark):
+    from equiflow.operators import isolation as I
+
+    a = spark.createDataFrame([(1, 5, 1.0), (1, 4, -1.0), (1, 3, -2.0), (2, 1, 1.0), (None, 1, -1.0), (3, 1, None)], "ticker int, day int, v double")
+    b = spark.createDataFrame([(1, "x"), (2, None), (3, "x"), (None, "x")], "ticker int, name string")
+    broken = I.broken_keys([I.Rule("negative", a, F.col("v") < 0, "day"), I.Rule("no name", b, F.col("name").isNull())])
+    assert sorted(map(tuple, broken.collect()), key=str) == sorted([(1, "negative", "3"), (None, "negative", "1"), (2, "no name", None)], key=str)
+    assert [tuple(r) for r in I.without(a, broken).collect()] == [(3, 1, None)]
+
+
+def test_union_fills_missing_columns(spark):
+    from equiflow.operators import clean as C
+
+    got = C.union_all([spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(3, 4)], "c int, a int"), spark.createDataFrame([(5,)], "b int")])
+    assert got.columns == ["a", "b", "c"] and sorted(map(tuple, got.collect()), key=str) == sorted([(1, 2, None), (4, None, 3), (None, 5, None)], key=str)
+
+
+def test_bullets_are_carried_down_without_a_shuffle(spark):
+    from equiflow.operators import text_render as TR
+    from equiflow.plans.text_plans import ROW3
+
+    text = "| Symbol | Name | Why |\n|---|---|---|\n| | | orphan |\n| AB | Co A | one |\n| | | two |\n| CD | | three |\nprose\n| AB | Co X | four |\n| | | |"
+    got = TR.bullet_groups(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "|---|")], "reply_id int, text string"), ["reply_id"], ROW3)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, None, None, ["orphan"]), (1, "AB", "Co A", ["one", "two", "four"]), (1, "CD", "Co A", ["three"])], key=str)
+    assert "Exchange" not in TR.explode_bullets(got, ["reply_id"])._jdf.queryExecution().executedPlan().toString()
