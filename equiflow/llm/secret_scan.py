@@ -3,14 +3,15 @@ r"""Secret scan: three plain patterns, and dictionary-primed compression novelty
 The patterns (kinds ``assign``, ``access``, ``hex``) are matched over whole texts,
 leftmost and without overlap per kind, and short matches are dropped.
 
-The method adds kind ``novel``: a run of credential characters near a sensitive
-word on its line that no pattern covers is compressed by zstandard after the text around it
+The method adds kind ``novel``: a run of credential characters after a sensitive word (to the end of its line, and over
+the block that the line opens) that no pattern covers is compressed by zstandard after the text around it
 (``AROUND`` characters on either side), with a dictionary of common identifiers and
-of the corpus's own words near sensitive words.  The bytes it adds, over its length, are
-its novelty; identifiers, words and repeats of the text around cost little, random
-strings about a byte a character.  At ``NOVELTY`` or more it is reported.
+of the corpus's own words near sensitive words.  Its novelty is the bytes it adds over those that a random string of its
+length and alphabet (hex digits, letters of one case, with digits, of both cases, with signs) needs; identifiers, words and
+repeats of the text around cost little.  At ``NOVELTY`` or more it is reported.
 
-Corpus words are counted over all documents; the ``WORDS`` most frequent make the
+Corpus words are counted over all documents, once for each different context and without what may be a credential
+itself, so copies of a secret teach the dictionary nothing; the ``WORDS`` most frequent make the
 dictionary, so it stays small whatever the input.
 
 Edge cases: null and empty texts have no spans (their ``base_sha256`` is that of the
@@ -22,6 +23,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -56,10 +58,45 @@ IDENTIFIERS = (
     "url user username uuid value var variable version view volume www xml your_key_here changeme abcdefghijklmnopqrstuvwxyz "
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef xxxxxxxxxxxxxxxx ---------------- ================ ________________"
 )
+#: Characters around a sensitive word whose words count for the dictionary.
 REACH = 96
 AROUND = 512
-NOVELTY = 0.85
+NOVELTY = 0.9
 WORDS = 2000
+#: What may stand between a sensitive word and the end of a line that opens a block (YAML, PEM, brackets, quotes).
+OPENER = re.compile(r"""["']?(?: KEY-----)?\s*[:=]?\s*[|>({\[]?[-+]?\s*["'`\\]*\s*""")
+ALPHABETS = ((re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16), (re.compile(r"[a-z]+|[A-Z]+"), 26), (re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36), (re.compile(r"[A-Za-z]+"), 52), (re.compile(r"[A-Za-z0-9]+"), 62))
+
+
+def random_bytes(span: str) -> float:
+    """The bytes that a random string of the span's length and alphabet needs."""
+    size = next((n for pattern, n in ALPHABETS if pattern.fullmatch(span)), 64)
+    return len(span) * math.log2(size) / 8
+
+
+def _region_end(text: str, end: int, stop: int) -> int:
+    """Where the context of a sensitive word ending at ``end`` in a line ending at ``stop`` ends: there, or with the block that the line opens.
+
+    A block's lines are indented deeper than its opener, or hold one run of credential characters each.
+    """
+    if stop == len(text) or not OPENER.fullmatch(text, end, stop):
+        return stop
+    indent = _indent(text, text.rfind("\n", 0, end) + 1)
+    while stop < len(text):
+        after = text.find("\n", stop + 1)
+        after = len(text) if after < 0 else after
+        line = text[stop + 1 : after].strip()
+        if not line or not (_indent(text, stop + 1) > indent or CANDIDATE.fullmatch(line.strip("\"',;"))):
+            break
+        stop = after
+    return stop
+
+
+def _indent(text: str, start: int) -> int:
+    at = start
+    while at < len(text) and text[at] in " \t":
+        at += 1
+    return at - start
 
 
 class Scanner:
@@ -68,9 +105,9 @@ class Scanner:
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress
 
     def novelty(self, text: str, start: int, end: int) -> float:
-        """Bytes that the span adds to its surroundings when compressed, for each character."""
+        """Bytes that the span adds to its surroundings when compressed, over those of a random string like it."""
         near = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode("utf-8", "replace")
-        return (len(self.compress(near + text[start:end].encode())) - len(self.compress(near))) / (end - start)
+        return (len(self.compress(near + text[start:end].encode())) - len(self.compress(near))) / random_bytes(text[start:end])
 
     def spans(self, text: str | None) -> list[tuple[str, int, int, float | None]]:
         """(kind, start, end, novelty) by start, then kind; novelty only of kind ``novel``."""
@@ -87,34 +124,55 @@ class Scanner:
         return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
     def _novel(self, text: str, covered: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
-        found, done = [], 0
+        found, line_end, done = [], -1, 0
         for word in SENSITIVE.finditer(text):
-            line = text.find("\n", word.end(), word.end() + REACH)
-            stop = line if line >= 0 else word.end() + REACH
-            for m in CANDIDATE.finditer(text, max(done, word.end())):
-                if m.start() >= stop:
-                    break
-                done = m.end()
+            if word.end() > line_end:
+                line_end = text.find("\n", word.end())
+                line_end = len(text) if line_end < 0 else line_end
+            start, stop = max(done, word.end()), _region_end(text, word.end(), line_end)
+            for m in CANDIDATE.finditer(text, start, stop):  # a region ends with a line, so no run goes beyond it
                 if all(m.end() <= a or b <= m.start() for a, b in covered) and (x := self.novelty(text, *m.span())) >= NOVELTY:
                     found.append(("novel", *m.span(), x))
+            done = max(start, stop)
         return found
 
 
+def contexts(text: str | None) -> Iterator[str]:
+    """The text around each sensitive word, without values of assignments and runs that may be credentials."""
+    if not text:
+        return
+    low = text.lower()
+    if not any(w in low for w in SENSITIVE_WORDS):
+        return
+    for m in SENSITIVE.finditer(text):
+        start, end = max(0, m.start() - REACH), m.end() + REACH
+        while start and RUN.match(text, start - 1) and m.start() - start < 2 * REACH:  # not into a run that was cut
+            start -= 1
+        tail = RUN_ON.match(text, end) if end < len(text) else None
+        yield RUN.sub(" ", ASSIGN.sub(lambda x: x[0][: x.start(2) - x.start()], text[start : tail.end() if tail else end]))
+
+
+#: Runs of credential characters, as long as a candidate.
+RUN = re.compile(r"[A-Za-z0-9+/_=~-]{16,}")
+RUN_ON = re.compile(r"[A-Za-z0-9+/_=~-]*")
+
+
 def nearby_words(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words near sensitive words, over all documents; frequent first."""
+    """The words near sensitive words in most different contexts, over all documents; frequent first."""
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"context": sorted({c for text in batch["text"] for c in contexts(text)})}, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch["text"]:
-                low = text.lower() if text else ""
-                if any(w in low for w in SENSITIVE_WORDS):
-                    for m in SENSITIVE.finditer(text):
-                        counts.update(w for w in re.findall(r"[A-Za-z_]{3,24}", text[max(0, m.start() - REACH) : m.end() + REACH]))
-            if counts:
-                yield pd.DataFrame({"word": list(counts), "c": list(counts.values())})
-
-    counts = df.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+            for context in batch["context"]:
+                counts.update(set(re.findall(r"[A-Za-z_]{3,24}", context)))
+            yield pd.DataFrame({"word": list(counts), "c": list(counts.values())})
+
+    different = df.select(F.col(text_col).alias("text")).mapInPandas(around, "context string").distinct()
+    counts = different.mapInPandas(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
     return [r.word for r in counts.where("c > 1").orderBy(F.desc("c"), "word").limit(WORDS).collect()]
 
 

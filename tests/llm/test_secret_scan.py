@@ -1,8 +1,10 @@
+import time
 import hashlib
 import random
 import re
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from equiflow.llm import secret_scan as S
@@ -77,3 +79,67 @@ def test_edge_cases(spark):
     out = S.secret_spans(df).orderBy(F.col("doc_id").asc_nulls_first()).collect()
     assert [(s.kind, s.start, s.end) for s in out[0].spans] == [("assign", 0, 12)] and out[1].spans == out[2].spans == []
     assert S.secret_spans(df.limit(0)).count() == 0
+
+
+ALPHABETS = {"hex": "0123456789ABCDEF", "low": string.ascii_lowercase, "up": string.ascii_uppercase, "low36": string.ascii_lowercase + string.digits,
+             "up36": string.ascii_uppercase + string.digits, "letters": string.ascii_letters, "mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+
+
+@pytest.mark.parametrize("copies", [1, 2, 1000])
+def test_copied_secrets_are_found(spark, copies):
+    """Copies of a document teach the dictionary nothing about its secret."""
+    r = random.Random(copies)
+    texts = [f"plain words before\nauth: {''.join(r.choice(ALPHABETS['mixed']) for _ in range(32))} and after number {k}" for k in range(8)]
+    df = spark.createDataFrame([(k, t) for t in texts for k in range(copies)], "doc_id long, text string")
+    got = S.secret_spans(df).selectExpr("doc_id", "exists(spans, s -> s.kind = 'novel') AS hit").groupBy("hit").count().collect()
+    assert [(x.hit, x["count"]) for x in got] == [(True, 8 * copies)]
+
+
+@pytest.mark.parametrize("name", ALPHABETS)
+def test_random_strings_of_every_alphabet_and_length(name):
+    r, scanner = random.Random(name), S.Scanner(["token", "value", "header"])
+    for n in (16, 24, 32, 64, 128, 256, 512):
+        for _ in range(10):
+            secret = "".join(r.choice(ALPHABETS[name]) for _ in range(n))
+            text = f"the header carries a signature as described above: {'some words ' * 12}{secret} until it ends"
+            at = text.index(secret)
+            assert any(a <= at and b >= at + n for _, a, b, _ in scanner.spans(text)), (n, secret)
+
+
+def test_blocks_and_far_places_on_the_line():
+    r, scanner = random.Random(3), S.Scanner()
+    secret = lambda n=48: "".join(r.choice(ALPHABETS["base64"]) for _ in range(n))
+    hit = lambda text, part: any(k == "novel" and text[a:b] == part for k, a, b, _ in scanner.spans(text))
+    a, b, c = secret(), secret(), secret()
+    yaml = f"config:\n  private_key: |\n    {a}\n    {b}\n  other: {c}\n"
+    assert hit(yaml, a) and hit(yaml, b) and not hit(yaml, c)
+    pem = f"my private_key =\n{a}\n{b}\n\n{c}\n"
+    assert hit(pem, a) and hit(pem, b) and not hit(pem, c)
+    far = f"auth {'word ' * 100}{a} x\n{b}"
+    assert hit(far, a) and not hit(far, b)
+    assert not hit("your access_key_goes_here_example_value and the_signature_of_the_request", "access_key_goes_here_example_value")
+
+
+def test_many_sensitive_words_on_one_long_line_are_read_once():
+    scanner = S.Scanner()
+    text = "token of value " * 60_000
+    t = time.time()
+    assert scanner.spans(text) == [] and time.time() - t < 20
+
+
+def test_novel_rule_against_its_statement():
+    """The compressor asked directly, for every run after a sensitive word of a line."""
+    r, scanner = random.Random(8), S.Scanner(["bearer", "client"])
+    lines = [" ".join(r.choice(["bearer", "client", "x" * r.randrange(1, 40), "".join(r.choice(ALPHABETS["mixed"]) for _ in range(r.randrange(10, 40))), "1234567890123456789012"]) for _ in range(12)) for _ in range(30)]
+    text = "\n".join(lines)
+    want, at = set(), 0
+    for line in lines:
+        word = line.find("bearer")
+        for m in re.finditer(r"[A-Za-z0-9+/_=~-]{16,}", line) if word >= 0 else ():
+            a, b = at + m.start(), at + m.end()
+            if m.start() >= word + 6 and re.search("[A-Za-z]", m[0]) and not re.search("[0-9a-f]{24}", m[0]):
+                near = (text[max(0, a - 512):a] + text[b:b + 512]).encode()
+                if len(scanner.compress(near + m[0].encode())) - len(scanner.compress(near)) >= S.NOVELTY * S.random_bytes(m[0]):
+                    want.add((a, b))
+        at += len(line) + 1
+    assert want and {(a, b) for k, a, b, _ in scanner.spans(text) if k == "novel"} == want
