@@ -10,8 +10,8 @@ match; it is extended both ways by comparing the line hashes of both documents a
 diagonal.  Every line here that lies in a run of ``gram`` or more equal lines on it is
 a later repeat and is deleted; the first occurrence stays.
 
-Long passages do not depend on the windows: ``gram`` lines in a row with ``PASSAGE`` words
-or more are always selected, and a line of ``PASSAGE`` words or more is a fingerprint by itself:
+Long passages do not depend on the windows: ``gram`` lines in a row with ``passage`` words
+or more are always selected, and a line of ``passage`` words or more is a fingerprint by itself:
 each one but its first occurrence is deleted, whatever its neighbours are.
 
 Rows carry line hashes, not text, until the deleted line numbers meet the document
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiflow.llm.common import table
+from equiflow.llm.common import shared_folder, table
 
 GRAM = 2
 WINDOW = 2
@@ -49,43 +49,55 @@ def _selected(grams: Column, window: int) -> Column:
     return F.when(F.size(grams) > 0, F.array_distinct(F.transform(starts, least))).otherwise(F.array().cast("array<int>"))
 
 
-def _words(line: Column) -> Column:
-    """Words of a line; the pattern is only needed below ``PASSAGE`` and outside ASCII."""
+def _words(line: Column, passage: int) -> Column:
+    """Words of a line: its spaces and one, where they stand alone between words; else counted.  The pattern is only needed below ``passage`` and outside ASCII."""
     plain = F.replace(F.replace(line, F.lit("\t"), F.lit(" ")), F.lit("\r"), F.lit(" "))
-    spaced = F.size(F.array_remove(F.split(plain, " "), ""))
-    return F.when((F.octet_length(line) > F.length(line)) & (spaced < PASSAGE), F.regexp_count(line, F.lit(WORD))).otherwise(spaced)
+    blanks = F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
+    odd = F.contains(plain, F.lit("  ")) | F.startswith(plain, F.lit(" ")) | F.endswith(plain, F.lit(" ")) | (plain == "")
+    spaced = F.when(odd, F.size(F.array_remove(F.split(plain, " "), ""))).otherwise(blanks + 1)
+    return F.when((F.octet_length(line) > F.length(line)) & (blanks + 1 < passage), F.regexp_count(line, F.lit(WORD))).otherwise(spaced)
 
 
-def _long_grams(gram: int) -> Column:
-    """Places (from 0) of ``gram`` lines with ``PASSAGE`` words or more."""
+def _long_grams(gram: int, passage: int) -> Column:
+    """Places (from 0) of ``gram`` lines with ``passage`` words or more."""
     part = lambda k: F.slice("words", k + 1, F.size("g"))
     total = part(0)
     for k in range(1, gram):
         total = F.zip_with(total, part(k), lambda a, b: a + b)
-    return F.filter(F.transform(total, lambda n, i: F.when(n >= PASSAGE, i)), lambda i: i.isNotNull())
+    return F.filter(F.transform(total, lambda n, i: F.when(n >= passage, i)), lambda i: i.isNotNull())
 
 
-def _documents(df: DataFrame, text_col: str, id_col: str, gram: int) -> DataFrame:
-    """``doc, th`` (the key: id and text hash), the text's line hashes, the words of each line and the grams."""
+def _documents(df: DataFrame, text_col: str, id_col: str, gram: int, window: int, passage: int) -> DataFrame:
+    """One narrow row per document, written once: ``doc, th`` (the key: id and text hash), the text's line hashes ``h``,
+    ``marks`` (place and hash of each selected gram) and ``long`` (number and a 128-bit hash of each line of ``passage`` words or more).
+
+    Texts are read here, and once more when the deleted numbers meet them.
+    """
+    spark = df.sparkSession
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.split(F.col(text_col), "\n").alias("lines"))
-    rows = rows.select("doc", "th", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", _words).alias("words"))
+    rows = rows.select("doc", "th", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.transform("lines", lambda x: _words(x, passage)).alias("words"))
     starts = F.sequence(F.lit(1), F.size("h") - gram + 1)
     grams = F.when(F.size("h") >= gram, F.transform(starts, lambda i: F.xxhash64(F.slice("h", i, gram)))).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn("g", grams)
+    places = F.array_union(_selected(F.col("g"), window), _long_grams(gram, passage))
+    numbered = F.transform("lines", lambda x, i: F.when(F.element_at("words", i + 1) >= passage, F.struct(i.alias("line"), F.element_at("h", i + 1).alias("a"), F.xxhash64(F.lit(gram), x).alias("b"))))
+    out = rows.withColumn("g", grams).select(
+        "doc", "th", "h", F.transform(places, lambda p: F.struct(p.alias("pos"), F.element_at("g", p + 1).alias("fp"))).alias("marks"), F.filter(numbered, lambda x: x.isNotNull()).alias("long"))
+    folder = shared_folder(spark, "line-hashes")
+    out.write.parquet(folder)
+    return spark.read.schema(out.schema).parquet(folder)
 
 
 def _long_lines(docs: DataFrame) -> DataFrame:
-    """``doc, th, line``: the lines of ``PASSAGE`` words or more that are not the first of their hash."""
-    lines = docs.select("doc", "th", F.posexplode(F.arrays_zip("h", "words")).alias("line", "at")).where(F.col("at.words") >= PASSAGE).select("doc", "th", "line", F.col("at.h").alias("fp"))
-    first = lines.groupBy("fp").agg(F.min(F.struct("doc", "th", "line")).alias("first"))
-    return lines.join(first, "fp").where(~F.struct("doc", "th", "line").eqNullSafe(F.col("first"))).select("doc", "th", "line")
+    """``doc, th, line``: the long lines that are not the first of their hash."""
+    lines = docs.select("doc", "th", F.explode("long").alias("at")).select("doc", "th", "at.line", F.col("at.a").alias("fa"), F.col("at.b").alias("fb"))
+    first = lines.groupBy("fa", "fb").agg(F.min(F.struct("doc", "th", "line")).alias("first"))
+    return lines.join(first, ["fa", "fb"]).where(~F.struct("doc", "th", "line").eqNullSafe(F.col("first"))).select("doc", "th", "line")
 
 
-def deleted_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def deleted_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """``doc, th, gone``: of each document (id, hash of its text) that loses lines their numbers, from 0."""
-    docs = _documents(df, text_col, id_col, gram)
-    places = F.array_union(_selected(F.col("g"), window), _long_grams(gram))
-    marks = docs.withColumn("pos", F.explode(places)).select("doc", "th", "pos", F.element_at("g", F.col("pos") + 1).alias("fp"))
+    docs = _documents(df, text_col, id_col, gram, window, passage)
+    marks = docs.select("doc", "th", F.explode("marks").alias("m")).select("doc", "th", "m.pos", "m.fp")
     first = marks.groupBy("fp").agg(F.min(F.struct("doc", "th", "pos")).alias("first"))
     pairs = (
         marks.join(first, "fp").where(~F.struct("doc", "th", "pos").eqNullSafe(F.col("first")))
@@ -105,15 +117,16 @@ def deleted_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return lines.union(_long_lines(docs)).groupBy("doc", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
-def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def line_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gram: int = GRAM, window: int = WINDOW, passage: int = PASSAGE) -> DataFrame:
     """One row per row of ``df``: ``<id_col>, n_lines, n_removed, text`` (the lines that stay)."""
-    gone = deleted_lines(df, text_col, id_col, gram, window).withColumnsRenamed({"doc": "d", "th": "t"})
+    gone = deleted_lines(df, text_col, id_col, gram, window, passage).withColumnsRenamed({"doc": "d", "th": "t"})
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("raw"))
     out = rows.join(gone, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     lines = F.split("raw", "\n")
-    stay = F.filter(lines, lambda _, i: ~F.array_contains("gone", i))
-    return out.select(
-        F.col("doc").alias(id_col), F.when(F.col("raw").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get("_lines", i))
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
+    return out.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines)).select(
+        F.col("doc").alias(id_col), F.when(F.col("raw").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), n_removed,
         F.when(F.col("gone").isNull(), F.col("raw")).otherwise(F.array_join(stay, "\n")).alias(text_col))
 
 
