@@ -1,13 +1,12 @@
 """Rendering tables and numbers as text.
 
-Text blocks are built per group (per ticker, per reply) with bounded row
-counts: ``collect_list`` of ``struct(order, line)`` inside the group, sorted,
-joined.  A whole table is never turned into one string.
+Texts are built per group (per ticker, per reply): lines are joined in blocks, then the blocks of a group,
+or the blocks are returned as they are.  A whole table is never turned into one string.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equiflow.operators.quantiles import exact_quantiles
@@ -53,45 +52,65 @@ def render_breakdown(df: DataFrame, key: str, fields: dict[str, tuple[str, str]]
 
 # ---- A08 / X09-X11: tables to text, per group ----
 
-def _join_lines(df: DataFrame, group: list[str], order: str, line: str, sep: str = "\n") -> DataFrame:
-    """Ordered lines of a group as one text value (group size is bounded by the caller)."""
-    agg = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
-                                                                      F.col(line).alias("l")))).alias("_ls"))
-    return agg.select(*group, F.array_join(F.transform("_ls", lambda x: x["l"]), sep).alias("text"))
+#: Lines that are joined in one place before a group is.
+LINE_BLOCK = 1000
 
 
-def render_pipe_table(df: DataFrame, group: list[str], order: str, cols: list[str]) -> DataFrame:
+def _join_lines(df: DataFrame, group: list[str], order: str, line: str, sep: str = "\n", blocks: bool = False) -> DataFrame:
+    """Ordered lines of a group as one text value, joined block by block.
+
+    With ``blocks`` the blocks themselves, ``group, block, text``, in order: no value holds more than ``LINE_BLOCK`` order
+    numbers, however large the group.
+    """
+    def joined(rows: DataFrame, keys: list[str], o: str, text: str) -> DataFrame:
+        agg = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(o).alias("o"), F.col(text).alias("l")))).alias("_ls"))
+        return agg.select(*keys, F.array_join(F.transform("_ls", lambda x: x["l"]), sep).alias("text"))
+
+    parts = joined(df.withColumn("block", F.floor(F.col(order) / LINE_BLOCK)), [*group, "block"], order, line)
+    return parts if blocks else joined(parts, group, "block", "text")
+
+
+def _with_widths(s: DataFrame, group: list[str], cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``_w_<col>``, the length of each column's longest cell or name in the group, and these widths by group.
+
+    Widths are a partial aggregate joined back: a large group is never held together.
+    """
+    widths = s.groupBy(*group).agg(*[F.greatest(F.max(F.length(c)), F.lit(len(c))).alias(f"_w_{c}") for c in cols])
+    own = widths.withColumnsRenamed({g: f"_g_{g}" for g in group})
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return s.join(own, same).drop(*[f"_g_{g}" for g in group]), widths
+
+
+def render_pipe_table(df: DataFrame, group: list[str], order: str, cols: list[str], blocks: bool = False) -> DataFrame:
     """X11: fixed-width pipe table per group; each column as wide as its longest cell or header."""
-    w = Window.partitionBy(*group)
     s = df.select(*group, order, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
-    widths = {c: F.greatest(F.max(F.length(c)).over(w), F.lit(len(c))) for c in cols}
-    s = s.withColumns({f"_w_{c}": widths[c] for c in cols})
+    s, head = _with_widths(s, group, cols)
 
     def row(vals):
         return F.concat(F.lit("| "), F.concat_ws(" | ", *vals), F.lit(" |"))
 
     body = s.select(*group, (F.col(order).cast("long") + 2).alias("_o"),
                     row([F.rpad(F.col(c), F.col(f"_w_{c}"), " ") for c in cols]).alias("line"))
-    head = s.groupBy(*group).agg(*[F.max(f"_w_{c}").alias(f"_w_{c}") for c in cols])
     header = head.select(*group, F.lit(0).cast("long").alias("_o"),
                          row([F.rpad(F.lit(c), F.col(f"_w_{c}"), " ") for c in cols]).alias("line"))
     sep = head.select(*group, F.lit(1).cast("long").alias("_o"),
                       F.concat(F.lit("|"), F.concat_ws("|", *[F.repeat(F.lit("-"), F.col(f"_w_{c}") + 2)
                                                              for c in cols]), F.lit("|")).alias("line"))
-    return _join_lines(header.unionByName(sep).unionByName(body), group, "_o", "line")
+    return _join_lines(header.unionByName(sep).unionByName(body), group, "_o", "line", blocks=blocks)
 
 
-def render_table(df: DataFrame, group: list[str], order: str, cols: list[str]) -> DataFrame:
+def render_table(df: DataFrame, group: list[str], order: str, cols: list[str], blocks: bool = False) -> DataFrame:
     """Right-aligned text block per group without index, columns separated by two spaces."""
-    w = Window.partitionBy(*group)
     s = df.select(*group, order, *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")).alias(c) for c in cols])
-    s = s.withColumns({f"_w_{c}": F.greatest(F.max(F.length(c)).over(w), F.lit(len(c))) for c in cols})
+    s, widths = _with_widths(s, group, cols)
     body = s.select(*group, (F.col(order).cast("long") + 1).alias("_o"),
                     F.concat_ws("  ", *[F.lpad(F.col(c), F.col(f"_w_{c}"), " ") for c in cols]).alias("line"))
-    head = s.groupBy(*group).agg(*[F.max(f"_w_{c}").alias(f"_w_{c}") for c in cols]).select(
+    head = widths.select(
         *group, F.lit(0).cast("long").alias("_o"),
         F.concat_ws("  ", *[F.lpad(F.lit(c), F.col(f"_w_{c}"), " ") for c in cols]).alias("line"))
-    return _join_lines(head.unionByName(body), group, "_o", "line")
+    return _join_lines(head.unionByName(body), group, "_o", "line", blocks=blocks)
 
 
 def render_csv(df: DataFrame, group: list[str], order: str, cols: list[str], header: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from equiflow.operators import requests as RQ
 from equiflow.operators import text_parse as TP
 from equiflow.operators import text_render as TR
 from equiflow.operators import valuation as V
@@ -96,36 +97,21 @@ def q_render_breakdown(spark, sf):
     return TR.render_breakdown(p, "ticker", BREAKDOWN)
 
 
-#: Request texts as data: name -> lines with {field} in place of a formatted value.
-TEMPLATES = {
-    "valuation": ("Value company {ticker} by its free cash flows.", "Growth after the horizon: {terminal_growth_rate}", "EBITDA multiple at exit: {exit_multiple}",
-                  "Discount rate: {wacc}", "Net debt: {net_debt}", "Shares: {shares_outstanding}"),
-    "discount_rate": ("Check the discount rate of company {ticker}.", "Cost of capital computed here: {wacc}", "Reply with one number."),
-}
-
-
-def request_texts(params: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
-    """One row per (ticker, template); a field without value reads NOT PROVIDED."""
-    c = F.col
-    values = {
-        "ticker": c("ticker").cast("string"), "terminal_growth_rate": TR.fmt_or(c("terminal_growth_rate"), TR.fmt_pct(c("terminal_growth_rate"))),
-        "exit_multiple": TR.fmt_or(c("exit_multiple"), TR.fmt_mult(c("exit_multiple"))), "wacc": TR.fmt_or(c("wacc"), TR.fmt_pct(c("wacc"))),
-        "net_debt": TR.fmt_or(c("net_debt"), TR.fmt_money(c("net_debt"))),
-        "shares_outstanding": TR.fmt_or(c("shares_outstanding"), F.format_number(c("shares_outstanding"), 0)),
-    }
-    texts = []
-    for name, lines in templates.items():
-        text = F.lit("\n".join(lines))
-        for field, value in values.items():
-            text = F.replace(text, F.lit("{" + field + "}"), value)
-        texts.append(F.struct(F.lit(name).alias("template"), text.alias("request")))
-    return params.select("ticker", F.explode(F.array(*texts)).alias("t")).select("ticker", "t.template", "t.request")
+def latest_closes(spark, sf, n: int = 5) -> DataFrame:
+    """The last ``n`` closes of each ticker as text, in order."""
+    last = Window.partitionBy("ticker").orderBy(F.desc("dt"))  # limited to n rows a ticker before it is dealt
+    rows = fx.prices(spark, sf).select("ticker", "dt", "close").withColumn("rn", F.row_number().over(last)).where(F.col("rn") <= n)
+    cents = F.floor(F.col("close") * 100 + 0.5).cast("long")
+    text = F.format_string("%d.%02d", F.floor(cents / 100).cast("long"), F.pmod(cents, F.lit(100)))
+    return rows.select("ticker", (n - F.col("rn")).alias("pos"), F.col("dt").cast("string").alias("dt"), text.alias("close"))
 
 
 def q_render_requests(spark, sf):
-    """The request texts of every ticker from its parameter row."""
+    """The six kinds of request texts of every ticker from its parameter row, with rendered tables in them."""
     from equiflow.plans.valuation_plans import fund
-    return request_texts(V.dcf_parameters(fund(spark, sf), fx.info(spark, sf)))
+    info = fx.info(spark, sf)
+    params = V.dcf_parameters(fund(spark, sf), info).join(info.select("ticker", "name", "sector", "market_cap"), "ticker", "left")
+    return RQ.request_texts(params, {"yearly_table": q_render_table(spark, sf), "closes_table": TR.render_table(latest_closes(spark, sf), ["ticker"], "pos", ["dt", "close"])})
 
 
 def q_to_html_rows(spark, sf):
@@ -254,17 +240,32 @@ def _breakdown_sql() -> str:
     return with_fixtures(_FX + ["v_info"], _M, _F, _RN, _LT, _LM, WACC, body="\nUNION ALL ".join(parts))
 
 
+_CLOSES = ("""cl AS (SELECT ticker, CAST(dt AS VARCHAR) AS dt, CAST(CAST(FLOOR(close * 100 + 0.5) AS BIGINT) // 100 AS VARCHAR) || '.' || lpad(CAST(CAST(FLOOR(close * 100 + 0.5) AS BIGINT) % 100 AS VARCHAR), 2, '0') AS close,
+  ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY dt DESC) AS rn FROM v_prices QUALIFY rn <= 5)""", """cw AS (
+SELECT ticker, CAST(GREATEST(MAX(LENGTH(close)), 5) AS INTEGER) AS w FROM cl GROUP BY ticker)""", """ct AS (
+SELECT ticker, string_agg(line, chr(10) ORDER BY o) AS closes_table FROM (
+  SELECT ticker, 0 AS o, lpad('dt', 10, ' ') || '  ' || lpad('close', w, ' ') AS line FROM cw
+  UNION ALL SELECT ticker, 6 - rn, lpad(dt, 10, ' ') || '  ' || lpad(close, w, ' ') FROM cl JOIN cw USING (ticker)) x GROUP BY ticker)""")
+
+
 def _requests_sql() -> str:
     from equiflow.plans.valuation_plans import _F, _FX, _LM, _LT, _M, _RN, _W as WACC
-    w = "CASE WHEN wacc IS NULL THEN 'NOT PROVIDED' ELSE printf('%.1f%%', wacc * 100) END"
-    return with_fixtures(_FX + ["v_info"], _M, _F, _RN, _LT, _LM, WACC, body=f"""
-SELECT ticker, 'valuation' AS template, 'Value company ' || CAST(ticker AS VARCHAR) || ' by its free cash flows.' || chr(10)
-  || 'Growth after the horizon: 2.5%' || chr(10) || 'EBITDA multiple at exit: 10.0x' || chr(10) || 'Discount rate: ' || {w} || chr(10)
-  || 'Net debt: ' || CASE WHEN net_debt IS NULL THEN 'NOT PROVIDED' ELSE '$' || format('{{:,.0f}}', net_debt) END
-  || chr(10) || 'Shares: ' || CASE WHEN shares_outstanding IS NULL THEN 'NOT PROVIDED' ELSE format('{{:,.0f}}', shares_outstanding) END AS request
-FROM wc
-UNION ALL SELECT ticker, 'discount_rate', 'Check the discount rate of company ' || CAST(ticker AS VARCHAR) || '.' || chr(10)
-  || 'Cost of capital computed here: ' || {w} || chr(10) || 'Reply with one number.' FROM wc""")
+    given = lambda c, text: f"CASE WHEN {c} IS NULL THEN 'NOT PROVIDED' ELSE {text} END"
+    fields = {
+        "ticker": "CAST(wc.ticker AS VARCHAR)", "name": given("i.name", "i.name"), "sector": given("i.sector", "i.sector"),
+        "market_cap": given("i.market_cap", "'$' || format('{:,.0f}', i.market_cap)"), "terminal_growth_rate": "'2.5%'", "exit_multiple": "'10.0x'",
+        "wacc": given("wacc", "printf('%.1f%%', wacc * 100)"), "net_debt": given("net_debt", "'$' || format('{:,.0f}', net_debt)"),
+        "shares_outstanding": given("wc.shares_outstanding", "format('{:,.0f}', wc.shares_outstanding)"),
+        "yearly_table": "COALESCE(yearly_table, 'NOT PROVIDED')", "closes_table": "COALESCE(closes_table, 'NOT PROVIDED')",
+    }
+    selects = []
+    for name, lines in RQ.TEMPLATES.items():
+        text = "'" + " || chr(10) || '".join(line.replace("'", "''") + "'" for line in lines)
+        for field, sql in fields.items():
+            text = text.replace("{" + field + "}", f"' || {sql} || '")
+        selects.append(f"SELECT wc.ticker, '{name}' AS template, {text} AS request FROM wc LEFT JOIN v_info i ON i.ticker = wc.ticker LEFT JOIN yt2 ON yt2.ticker = wc.ticker LEFT JOIN ct ON ct.ticker = wc.ticker")
+    yearly = f"yt2 AS (SELECT ticker, text AS yearly_table FROM ({ORACLE['render_table']}) q)"
+    return with_fixtures(_FX + ["v_info", "v_prices"], _M, _F, _RN, _LT, _LM, WACC, *_CLOSES, yearly, body="\nUNION ALL ".join(selects))
 
 
 _HTML = """SELECT hd.request_id, hd.reply_id,

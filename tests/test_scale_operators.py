@@ -192,3 +192,28 @@ def test_bullets_are_carried_down_without_a_shuffle(spark):
     got = TR.bullet_groups(spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "|---|")], "reply_id int, text string"), ["reply_id"], ROW3)
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(1, None, None, ["orphan"]), (1, "AB", "Co A", ["one", "two", "four"]), (1, "CD", "Co A", ["three"])], key=str)
     assert "Exchange" not in TR.explode_bullets(got, ["reply_id"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_tables_come_in_blocks(spark):
+    from equiflow.operators import text_render as TR
+
+    df = spark.range(3500).select(F.lit(1).alias("g"), "id", F.concat(F.lit("v"), F.col("id")).alias("v")).unionByName(spark.createDataFrame([(None, 0, "x")], "g int, id long, v string"))
+    for render, head in ((TR.render_table, "    v"), (TR.render_pipe_table, "| v     |\n|-------|")):
+        whole = {r.g: r.text for r in render(df, ["g"], "id", ["v"]).collect()}
+        parts = render(df, ["g"], "id", ["v"], blocks=True)
+        assert "Window" not in parts._jdf.queryExecution().optimizedPlan().toString()
+        rows = sorted((r.block, r.text) for r in parts.where("g = 1").collect())
+        assert len(rows) == 4 and "\n".join(t for _, t in rows) == whole[1] and whole[1].startswith(head) and whole[1].count("\n") in (3500, 3501)
+        assert "x" in whole[None]
+
+
+def test_request_placeholders_are_checked_and_set_once(spark):
+    from equiflow.operators import requests as RQ
+
+    params = spark.createDataFrame([(1, "a {b} c"), (2, None)], "ticker int, name string")
+    values = {"ticker": F.col("ticker").cast("string"), "name": F.coalesce("name", F.lit("?")), "b": F.lit("never")}
+    table = spark.createDataFrame([(1, "x  y\n1  2")], "ticker int, text string")
+    got = {(r.ticker, r.template): r.request for r in RQ.request_texts(params, {"t": table}, {"one": ("{ticker}: {name}", "{t}"), "two": ("{b}",)}, values).collect()}
+    assert got == {(1, "one"): "1: a {b} c\nx  y\n1  2", (2, "one"): "2: ?\nNOT PROVIDED", (1, "two"): "never", (2, "two"): "never"}
+    with pytest.raises(ValueError, match="one: nothing"):
+        RQ.request_texts(params, {}, {"one": ("{nothing}",)}, values)
