@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 import zlib
@@ -20,26 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session, lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or the caller set on the context.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (or the
-    caller set on the context).  Only where there is none, as in tests on one
-    machine, a folder of our own is set.
+    Only where there is none and driver and executors are one process, as in tests, a folder of this machine is set; on a
+    cluster other executors would not see its files, so there it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="equiflow-"))
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="equiflow-"))
+    return named or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder of the session, lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder of the session (see ``checkpointed``), for tables that a later job reads again."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="equiflow-"))
-    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the checkpoint folder of the session, for tables that a later job reads again."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def discard(spark: SparkSession, folder: str) -> None:
