@@ -7,6 +7,7 @@ back (sinks, streams) ask ``scratch_folder`` for a place below shared storage.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,7 +38,12 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int | None = None,
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share: below ``spark.checkpoint.dir``, or where that is unset below the warehouse.
 
-    Both are settings of the session that are only read here.
+    Both are settings of the session that are only read here.  A warehouse on the driver's own disk is no shared
+    place: on a cluster it is an error.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = spark.conf.get("spark.sql.warehouse.dir")
+        if re.match(r"file:|/", top) and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{top.rstrip('/')}/equiflow-{name}-{uuid.uuid4().hex}"
