@@ -44,6 +44,6 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.conf.get("spark.sql.warehouse.dir")
-        if re.match(r"file:|/", top) and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        if top.startswith("file:") and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{top.rstrip('/')}/equiflow-{name}-{uuid.uuid4().hex}"
