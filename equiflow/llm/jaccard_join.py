@@ -26,12 +26,13 @@ by sketches whose distance is never more than the sets' (so no link is lost).  O
 pairs left open first a spanning forest is verified, then, between components that are
 still apart, every one.  Pairs that are neither linked nor close never become rows,
 and a large group of copies costs one comparison per member and bucket head.
-Documents with equal sets are one class before all this.
+Documents with equal sets are one class before all this, with a number of its own, so
+links do not depend on ids.
 
 Edge cases: null or empty text has no shingles, is linked with nothing and is
-its own component; a null id keeps its row with a null component unless a document
-with an equal set has an id; rows that repeat an id are one node, and if their texts
-differ the largest text stands for it; other columns
+its own component; a row with a null id links as any other and gets the smallest id
+that it reaches, or null where it reaches none; rows that repeat an id are compared by
+their own texts, each with its own component; other columns
 are ignored by ``jaccard_components`` and passed through by ``near_dedup``.
 """
 
@@ -181,7 +182,7 @@ class _Signer:
 
 def _describe(width: int):
     """kind 0: a row's set size and the two halves of its set's hash; kind 1: a frequent shingle and its documents here."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64())])
+    schema = pa.schema([("kind", pa.int32())] + [(c, pa.int64()) for c in ("doc_id", "th", "n", "hi", "lo")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,8 +195,8 @@ def _describe(width: int):
                     lo.append(_signed(key & (2**64 - 1)) if len(h) else None)
                 values, counts = _frequent(sets)
                 none = pa.nulls(len(values), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), none, pa.array(counts), pa.array(values.view(np.int64)), none], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int32)), none, none, pa.array(counts), pa.array(values.view(np.int64)), none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], schema=schema)
 
     return run
 
@@ -290,11 +291,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``needed``, and few others, so that a join moves few texts.
+    """The rows of ``docs`` whose text hash is among those of ``needed``, and few others, so that a join moves few texts.
 
-    The ids are marked in a map of fixed size, made in Spark from pieces of 4 KB.
+    The hashes are marked in a map of fixed size, made in Spark from pieces of 4 KB.
     """
-    place = F.xxhash64(F.col("node")).bitwiseAND(NEEDED_BITS - 1) + 1
+    place = F.col("rep_th").bitwiseAND(NEEDED_BITS - 1) + 1
     marked = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(NEEDED_BITS >> 3, np.uint8)
     for r in marked.collect():
@@ -302,11 +303,10 @@ def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            yield batch.filter(pa.array(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0)).select(["doc_id", "text"])
+            p = batch.column("th").to_numpy() & (NEEDED_BITS - 1)
+            yield batch.filter(pa.array(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0))
 
-    keyed = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").bitwiseAND(NEEDED_BITS - 1).alias("p"))
-    return keyed.mapInArrow(trimmed(run), "doc_id long, text string")
+    return docs.mapInArrow(trimmed(run), "doc_id long, text string, th long")
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -390,12 +390,15 @@ def _open_pairs(rows: pd.DataFrame, cuts: np.ndarray, forest: bool) -> pd.DataFr
 
 
 def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(documents, classes, links)``: ``doc_id, n, hi, lo`` of each row; ``hi, lo, node, n`` of each distinct set
-    (node: its smallest id); ``a, b`` between nodes, enough links to connect all that link."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = checkpointed(docs.mapInArrow(trimmed(_describe(width)), "kind int, doc_id long, n long, hi long, lo long"))
-    rows = base.where("kind = 0").select("doc_id", "n", "hi", "lo")
-    classes = checkpointed(rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
+    """``(documents, classes, links)``: ``doc_id, th, n, hi, lo`` of each row (th: hash of its text); ``hi, lo, node, n, rep,
+    rep_th`` of each distinct set (node: a number; rep, rep_th: its smallest id, null only if it has none, and a text of that
+    id); ``a, b`` between nodes, enough links to connect all that link."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("th"))
+    base = checkpointed(docs.mapInArrow(trimmed(_describe(width)), "kind int, doc_id long, th long, n long, hi long, lo long"))
+    rows = base.where("kind = 0").select("doc_id", "th", "n", "hi", "lo")
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    classes = rows.where("n > 0").groupBy("hi", "lo").agg(first_row.alias("r"), F.max("n").alias("n"))
+    classes = checkpointed(classes.select("hi", "lo", F.monotonically_increasing_id().alias("node"), "n", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("rep_th")))
     least = max(16, rows.count() // 1024)
     often = base.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("c")).where(F.col("c") >= least).orderBy(F.desc("c"), "hi").limit(FREQUENT).toPandas()
     values = often["hi"].to_numpy(np.int64).view(np.uint64)
@@ -403,11 +406,11 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     values, counts = values[order], often["c"].to_numpy(np.int64)[order]
 
     parts = partition_bound(df)
-    signed = docs.mapInArrow(trimmed(_sign(width, values, counts)), "key long, sid long")
+    signed = docs.select("text").mapInArrow(trimmed(_sign(width, values, counts)), "key long, sid long")
     met = signed.repartition(parts, F.shiftright("key", 4)).sortWithinPartitions("key", "sid")
     met = checkpointed(met.mapInArrow(trimmed(_heads), "bucket long, sid long, role int, head long, head_role int"))
 
-    nodes = classes.where("node is not null").select(F.col("hi").alias("sid"), "node", "n")
+    nodes = classes.select(F.col("hi").alias("sid"), "node", "n")
     shared = nodes.alias("x").join(nodes.alias("y"), "sid").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))  # sets whose short ids clash
     pairs = (
         met.select("sid", "head").distinct()
@@ -415,8 +418,10 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .join(nodes.select(F.col("sid").alias("head"), F.col("node").alias("b"), F.col("n").alias("nb")), "head")
         .where(f"least(na, nb) * 100 >= greatest(na, nb) * {PERCENT} and a != b").select("a", "b").union(shared))
     pairs = checkpointed(pairs.select("a", "b").distinct())
-    needed = checkpointed(met.select("sid").union(met.select("head")).distinct().join(nodes, "sid").select("node").union(shared.select("a")).union(shared.select("b")).distinct())
-    texts = checkpointed(_likely(docs, needed).join(needed, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.max("text").alias("text")))
+    needed = met.select("sid").union(met.select("head")).distinct().join(nodes, "sid").select("node").union(shared.select("a")).union(shared.select("b")).distinct()
+    needed = checkpointed(needed.join(classes, "node").select("node", "rep", "rep_th"))
+    same_row = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))
+    texts = checkpointed(_likely(docs, needed).join(needed, same_row).groupBy("node").agg(F.max("text").alias("text")))
     first = checkpointed(_verified(pairs, texts, width))
 
     # what a bucket head could not tell: rows of one bucket that are in different components by now; first
@@ -443,21 +448,31 @@ def _cells(members: DataFrame, roots: DataFrame, texts: DataFrame, width: int, p
     return cells.repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
 
 
-def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """One row per row of ``df``: ``<id_col>, n_shingles, component_id``."""
+def _components(df: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
+    """``doc_id, th, n, component`` of each row."""
     rows, classes, links = jaccard_links(df, text_col, id_col, width)
     roots = components(links)
-    named = checkpointed(classes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root")))
-    return rows.join(named, ["hi", "lo"], "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    linked = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    least = linked.join(classes, "node").groupBy("root").agg(F.min("rep").alias("least"))
+    linked = linked.join(least, "root").select("node", "least")
+    named = checkpointed(classes.join(linked, "node", "left").select("hi", "lo", F.coalesce("least", "rep").alias("component")))
+    return rows.join(named, ["hi", "lo"], "left").select("doc_id", "th", "n", F.coalesce("component", "doc_id").alias("component"))
+
+
+def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
+    """One row per row of ``df``: ``<id_col>, n_shingles, component_id``."""
+    return _components(df, text_col, id_col, width).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def near_dedup(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = WIDTH) -> DataFrame:
-    """The rows of ``df`` that are the smallest id of their component, with all columns; rows without id stay."""
-    name = free_name(df, "root")
-    found = jaccard_components(df, text_col, id_col, width).where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id")))
-    gone = found.select(F.col(id_col).alias(name)).distinct()
-    return df.join(gone, df[id_col].cast("long") == gone[name], "left_anti")
+    """The rows of ``df`` that hold the smallest id of their component, with all columns.
+
+    Rows without id go where their component has one, and stay where it has none.
+    """
+    root, text = free_name(df, "root"), free_name(df, "text")
+    gone = _components(df, text_col, id_col, width).where(~F.col("doc_id").eqNullSafe(F.col("component")))
+    gone = gone.select(F.col("doc_id").alias(root), F.col("th").alias(text)).distinct()
+    return df.join(gone, df[id_col].cast("long").eqNullSafe(gone[root]) & (F.xxhash64(df[text_col]) == gone[text]), "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -135,3 +135,20 @@ def test_unlinked_rows_of_one_bucket_in_small_blocks(spark, monkeypatch):
             x[k : k + 1] = [f"e{r.randrange(40)}"] * r.choice([0, 1, 2])
         rows.append((i, " ".join(x)))
     assert run(spark, rows) == brute(rows)
+
+
+def test_links_do_not_depend_on_ids(spark):
+    """Null ids, and ids that repeat with other texts: every row links by its own text."""
+    a, z, lone = (" ".join(f"{c}{i}" for i in range(60)) for c in "azl")
+    docs = [(7, a), (7, z), (9, a + " more"), (5, z + " more"), (None, a + " end"), (None, lone), (None, lone + " more"), (11, "q r s"), (None, None)]
+    df = spark.createDataFrame([(*x, "a", "b", None) for x in docs], SCHEMA).repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()), key=str)
+    assert got == sorted([(7, 56, 7), (7, 56, 5), (9, 57, 7), (5, 57, 5), (None, 57, 7), (None, 56, None), (None, 57, None), (11, 1, 11), (None, 0, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in J.near_dedup(df).collect()), key=str)
+    assert kept == sorted([(7, a), (5, z + " more"), (None, lone), (None, lone + " more"), (11, "q r s"), (None, None)], key=str)
+
+
+def test_long_words_that_a_polynomial_would_confuse(spark):
+    morse = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    rows = [(1, morse), (2, morse.translate(str.maketrans("ab", "ba"))), (3, "a"), (4, "a\0"), (5, "abcdefgh"), (6, "abcdefgh\0"), (7, "x" * 16), (8, "x" * 17), (9, morse)]
+    assert run(spark, rows) == brute(rows) == {i: (1, 1 if i == 9 else i) for i in range(1, 10)}
