@@ -16,8 +16,8 @@ Equal payloads are found by their SHA-256, one aggregate row per payload and tas
 joined back by an equi-join that Spark can split where one payload is hot.
 
 Edge cases: null html is an empty payload; a null or odd URL is kept under the key it
-gives, without line breaks; a null page id never is the one others refer to and its
-page is always a response; rows that repeat the id of a response are responses too; an
+gives, without line breaks; a null page id never is the one others refer to, and its
+page is a response only where no equal payload has an id; rows that repeat the id of a response are responses too; an
 empty table gives an empty archive and index; other columns are ignored.
 """
 
@@ -109,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
     rows = rows.withColumn("content", F.coalesce(F.unhex(F.sha2("html", 256)), F.lit(b"")))
     last = rows.groupBy("content").agg(F.max("page_id").alias("last"))
     last = last.repartition(partition_bound(pages))  # both sides of the join are dealt anew, so a hot payload can be split
-    refers = F.when((F.octet_length("html") >= min_bytes) & (F.col("page_id") != F.col("last")), F.col("last"))
+    refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     rows = rows.join(last, "content").select("page_id", "url", "html", refers.alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +273,7 @@ d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVE
 b AS (SELECT *, list_transform(range(0, 8), lambda g: ('0x' || substr(x, 5 * g + 1, 5))::BIGINT) AS v FROM d)
 SELECT page_id, payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> last THEN last END AS refers_to
+       CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
 FROM b
 """

@@ -18,7 +18,7 @@ def brute(rows):
     out = []
     for i, _, h in rows:
         data = (h or "").encode()
-        to = last.get(h or "") if i is not None and last[h or ""] != i else None
+        to = last.get(h or "") if last.get(h or "") != i else None
         out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if to is None else "revisit", to))
     return sorted(out, key=str)
 
@@ -81,3 +81,15 @@ def test_equal_entries_across_blocks_are_all_found(spark, tmp_path):
     rows += [(7, "http://b.example.org/", "<p>same</p>")] * 1500 + [(None, None, "<p>none</p>")] * 1500
     spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted(map(tuple, W.op8_warc(spark, str(tmp_path)).collect()), key=str) == brute(rows)
+
+
+def test_null_ids_revisit_the_largest_id_in_code_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(None, "http://a/", "same"), (4, "http://a/", "same"), (9, None, "same"), (None, "http://b/", "alone"), (None, "http://b/", "alone"), (None, None, None), (2, "http://c/", "")]
+    spark.createDataFrame([(*x, None, None) for x in rows], SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, W.op8_warc(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute(rows) and sum(x[3] == "revisit" for x in got) == 3
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert sorted(con.execute(W.OP8_SQL).fetchall(), key=str) == got
