@@ -37,6 +37,7 @@ Column names are found as Spark finds them.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -71,23 +72,35 @@ _SENTENCE_END = re.compile(r"[.!?:][\"')\]]*$")
 
 
 class _Words(dict):
-    """word -> row of the attribute arrays: hash of the plain word, kind, whether a sentence ends after it, whether punctuation follows."""
+    """word -> place in two arrays: hash of the plain word; kind, whether a sentence ends after it (8) and whether punctuation follows (16)."""
 
     def __init__(self):
         self.reset()
 
     def reset(self):
         self.clear()
-        self.plain, self.kind, self.ends, self.marked = [], [], [], []
+        self.plain, self.flags = array("Q"), array("B")
 
     def __missing__(self, word: str) -> int:
-        core = word if word.lower() in _UNITS else _OUTER.sub("", word)
+        last = word[-1]
+        if word.isalpha():
+            core, flags = word, 0
+        elif last in ".,;:!?" and word[:-1].isalpha():
+            core, flags = word[:-1], 16 if last in ",;" else 24
+        else:
+            core = word if word.lower() in _UNITS else _OUTER.sub("", word)
+            flags = 8 * bool(_SENTENCE_END.search(word)) + 16 * (not last.isalnum())
         low = core.lower()
-        kind = NOTHING if not low else NUMBER if _NUMBER.fullmatch(low) else UNIT if low in _UNITS else NAME if core[0].isupper() and not core.isupper() else LITERAL
+        if not low:
+            flags |= NOTHING
+        elif low in _UNITS:
+            flags |= UNIT
+        elif core[0].isupper() and not core.isupper():
+            flags |= NAME
+        elif _NUMBER.match(low) and _NUMBER.fullmatch(low):
+            flags |= NUMBER
         self.plain.append(xxhash.xxh64_intdigest(low.encode("utf-8", "replace")))
-        self.kind.append(kind)
-        self.ends.append(bool(_SENTENCE_END.search(word)))
-        self.marked.append(not word[-1].isalnum())
+        self.flags.append(flags)
         self[word] = at = len(self.plain) - 1
         return at
 
@@ -131,8 +144,8 @@ def _sequences(docs: list[list[str]], words: _Words) -> tuple[_Sequence, _Sequen
     """The texts as plain words, as a template with openers as words, and as one with openers as names."""
     ids = np.fromiter((words[w] for doc in docs for w in doc), np.int64, sum(map(len, docs)))
     of = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    plain, kind = np.array(words.plain, np.uint64)[ids], np.array(words.kind, np.int8)[ids]
-    ends, apart = np.array(words.ends, bool)[ids], np.array(words.marked, bool)[ids]
+    plain, flags = np.array(words.plain, np.uint64)[ids], np.array(words.flags, np.uint8)[ids]
+    kind, ends, apart = (flags & 7).astype(np.int8), flags & 8 > 0, flags & 16 > 0
     start = np.r_[True, ends[:-1] | (of[1:] != of[:-1])][: len(ids)]
     real = kind != NOTHING
     apart[:-1] |= ~real[1:]
