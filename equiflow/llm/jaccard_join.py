@@ -291,11 +291,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text hash is among those of ``needed``, and few others, so that a join moves few texts.
+    """The rows of ``docs`` whose hash ``k`` of id and text is among those of ``needed``, and few others, so that a join moves few texts.
 
     The hashes are marked in a map of fixed size, made in Spark from pieces of 4 KB.
     """
-    place = F.col("rep_th").bitwiseAND(NEEDED_BITS - 1) + 1
+    place = F.col("k").bitwiseAND(NEEDED_BITS - 1) + 1
     marked = needed.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros(NEEDED_BITS >> 3, np.uint8)
     for r in marked.collect():
@@ -303,10 +303,10 @@ def _likely(docs: DataFrame, needed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = batch.column("th").to_numpy() & (NEEDED_BITS - 1)
+            p = batch.column("k").to_numpy() & (NEEDED_BITS - 1)
             yield batch.filter(pa.array(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1 > 0))
 
-    return docs.mapInArrow(trimmed(run), "doc_id long, text string, th long")
+    return docs.select("doc_id", "text", "th", F.xxhash64("doc_id", "th").alias("k")).mapInArrow(trimmed(run), "doc_id long, text string, th long, k long")
 
 
 def _sketches(texts: DataFrame, width: int) -> DataFrame:
@@ -419,9 +419,10 @@ def jaccard_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .where(f"least(na, nb) * 100 >= greatest(na, nb) * {PERCENT} and a != b").select("a", "b").union(shared))
     pairs = checkpointed(pairs.select("a", "b").distinct())
     needed = met.select("sid").union(met.select("head")).distinct().join(nodes, "sid").select("node").union(shared.select("a")).union(shared.select("b")).distinct()
-    needed = checkpointed(needed.join(classes, "node").select("node", "rep", "rep_th"))
+    needed = checkpointed(needed.join(classes, "node").select("node", "rep", "rep_th", F.xxhash64("rep", "rep_th").alias("k")))
     same_row = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("th") == F.col("rep_th"))
-    texts = checkpointed(_likely(docs, needed).join(needed, same_row).groupBy("node").agg(F.max("text").alias("text")))
+    by_key = _likely(docs, needed).join(needed, "k").groupBy("k", "node")  # one dealing of the texts, by k
+    texts = checkpointed(by_key.agg(F.max(F.when(same_row, F.col("text"))).alias("text")).select("node", "text"))
     first = checkpointed(_verified(pairs, texts, width))
 
     # what a bucket head could not tell: rows of one bucket that are in different components by now; first
